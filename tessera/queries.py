@@ -466,9 +466,9 @@ def lambda_str(s, d):
     return _fit(["p_partkey"] + (["p_type"] >> ops.LambdaOp(lambda c: F.substring(c, 2, 4))), _t(s, d, "part"))
 
 
-@query("select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_extendedprice / l_quantity, 1) as l_extendedprice from lineitem")
+@query("select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_extendedprice - l_quantity, 6) as l_extendedprice from lineitem")
 def lambda_two_arg(s, d):
-    return _rounded(_fit(KEY + (["l_extendedprice"] >> ops.LambdaOp(lambda c, df: c / df["l_quantity"], dependency=["l_quantity"])), _t(s, d, "lineitem")), 1)
+    return _rounded(_fit(KEY + (["l_extendedprice"] >> ops.LambdaOp(lambda c, df: c - df["l_quantity"], dependency=["l_quantity"])), _t(s, d, "lineitem")), 6)
 
 
 @query("select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity * 2 as l_quantity from lineitem")
