@@ -79,7 +79,7 @@ def slots(planned: DataFrame, shards: int, seed: int = 0, chunk: int = 4096) ->
     return placed.select(F.floor(F.col("place") * shards / F.col("all_slots")).cast("int").alias("shard"), "place", "rank", "block")
 
 
-def pieces(sized: DataFrame, planned: DataFrame, block_words: int, docs_per_run: int = 20_000) -> DataFrame:
+def pieces(sized: DataFrame, planned: DataFrame, block_words: int, docs_per_run: int = 2_000) -> DataFrame:
     """One row per document and block that it lies in: rank, block, doc columns, first word, words."""
     most = sized.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     runs = max(1, most // docs_per_run)
@@ -104,9 +104,10 @@ def taken(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int =
     sized = checkpoint(sizes(docs).withColumn("row", F.monotonically_increasing_id()))
     planned = plan(sized, block_words)
     times = slots(planned, shards, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    got = pieces(sized, planned, block_words).join(times, ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+    got = pieces(sized, planned, block_words).hint("merge").join(times, ["rank", "block"])  # both grow with the input; estimates of exploded rows are far too low
+    got = got.groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     per_source = planned.select(F.col("source").alias("s"), "source_size", "target")
-    rows = sized.join(got, "row", "left").join(per_source, F.col("source").eqNullSafe(F.col("s")))
+    rows = sized.hint("merge").join(got, "row", "left").join(per_source, F.col("source").eqNullSafe(F.col("s")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, block_words: int = 2048, shards: int = 64, seed: int =
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0)).cast("long")
     sized = checkpoint(docs.select("doc_id", "source", n_words.alias("size"), F.xxhash64("text").alias("row")))
     planned = plan(sized, block_words)
-    got = pieces(sized, planned, block_words).join(slots(planned, shards, seed), ["rank", "block"])
+    got = pieces(sized, planned, block_words).hint("merge").join(slots(planned, shards, seed), ["rank", "block"])
     cuts = got.groupBy("doc_id", "row", "size", "first_word", "n_words").agg(F.count("*").alias("times"))
     cuts = cuts.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("x")).agg(F.collect_list(F.struct("size", "first_word", "n_words", "times")).alias("cuts"))
     once = docs.withColumn("__x", F.xxhash64("text")).dropDuplicates(["doc_id", "__x"])
