@@ -28,11 +28,16 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _trimmed(c: Column | str) -> Column:
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\r\f\x0b"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """row, line (number from 0), n, leaf and hashes of the tokens of every line that is not blank."""
     each = docs.select(_row().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    split = each.select("row", "line", F.split(F.trim(F.regexp_replace("raw", "[\\s]+", " ")), " ").alias("t")).where("t[0] <> ''")
-    lead = [F.coalesce(F.when(F.get("t", F.lit(i)).rlike("[0-9]"), F.lit("<*>")).otherwise(F.get("t", F.lit(i))), F.lit("")) for i in range(LEADING)]
+    split = each.where(_trimmed("raw") != "").select("row", "line", F.split(_trimmed("raw"), "[ \\t\\r\\f\\x0B]+").alias("t"))
+    token = lambda i: F.get("t", F.lit(i))
+    lead = [F.coalesce(F.when(F.translate(token(i), "0123456789", "") != token(i), F.lit("<*>")).otherwise(token(i)), F.lit("")) for i in range(LEADING)]
     return split.select("row", "line", F.size("t").alias("n"), F.xxhash64(F.size("t"), *lead).alias("leaf"), "t")
 
 
@@ -64,7 +69,7 @@ def recurring(docs: DataFrame, min_lines: int = 3, share: float = 0.5) -> DataFr
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and dropped (line numbers) of every document."""
     gone = recurring(docs, **options).groupBy(F.col("row").alias("r")).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
-    n = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\\s+", "") != "")), F.lit(0))
+    n = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: _trimmed(x) != "")), F.lit(0))
     base = docs.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), _row().alias("row"))
     out = base.join(gone, F.col("row") == F.col("r"), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
