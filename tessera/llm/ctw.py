@@ -143,6 +143,7 @@ class Model:
 
     def __init__(self, code: np.ndarray, count: np.ndarray, depth: int) -> None:
         self.depth = depth
+        self._counts = (code, count)
         order = np.argsort(code)
         code, count = code[order].astype(np.uint64), count[order].astype(np.float64)
         byte, context = (code & np.uint64(255)).astype(np.int64), code >> np.uint64(8)
@@ -182,6 +183,13 @@ class Model:
             ids = base[d] + np.arange(sizes[d]) + (inner if d == depth else 0)
             self.next[base[d - 1] + parent[d], self.symbol[(nodes[d] & np.uint64(255)).astype(np.int64)]] = ids
 
+    def __getstate__(self) -> tuple:
+        """The counts: a tenth of the tables, which each worker makes once from them."""
+        return (*self._counts, self.depth)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
     @staticmethod
     def _mix(zeros: list[np.ndarray], ones: list[np.ndarray], parent: list[np.ndarray]) -> list[np.ndarray]:
         """For each context node, by depth: the mixed probability of a 1 if the path ends there."""
