@@ -162,7 +162,7 @@ class Model:
         by = np.argsort(symbol, kind="stable")
         owner, symbol, count = owner[by], symbol[by], count[by]
         # bytes not seen share one escape at the root, as if seen once
-        escape = 1 / (count.sum() + 1) if a < 256 else 0.0
+        escape = 1 / (count.sum() + 2) if a < 256 else 0.0
         self.table[:, :a] = np.log10(1 - escape)
         self.table[:, a] = np.log10(escape / max(1, 256 - a) or 1)
         for low, mid, high in splits:

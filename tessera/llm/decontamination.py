@@ -138,7 +138,7 @@ class Items:
         item = np.repeat(np.arange(len(texts)), np.diff(bounds))
         left = bounds[1:][item] - np.arange(len(item)) if len(item) else np.zeros(0, np.int64)
         cols = np.arange(max(1, self.longest))
-        padded = np.append(self.words, np.zeros(len(cols), np.int64))
+        padded = np.append(self.words, np.zeros(max(len(cols), window), np.int64))
         self.suffixes = np.where(cols < left[:, None], padded[np.arange(len(item))[:, None] + cols], 0) if len(item) else np.zeros((0, 1), np.int64)
         total = np.diff(bounds)[item] if len(item) else left
         whole = (total < window) & (left == total)
