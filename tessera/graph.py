@@ -66,6 +66,7 @@ class Node:
     def __init__(self, op: Operator | None = None, parents: Iterable[Node] = (), dependencies: Iterable[Node] = (), selector: ColumnSelector | None = None, kind: str | None = None, name: str | None = None) -> None:
         self.op, self.parents, self.dependencies, self.selector, self.name = op, list(parents), list(dependencies), selector, name
         self.kind = kind or ("op" if op else "selection")
+        self.lenient = False
 
     def __rshift__(self, op: object) -> Node:
         if isinstance(op, type) and issubclass(op, Operator):
@@ -89,7 +90,10 @@ class Node:
         return as_node(other) + self
 
     def __sub__(self, other: object) -> Node:
-        return Node(parents=[self], dependencies=[as_node(other)], kind="subtract")
+        gone = other if isinstance(other, Node) else as_node(other)
+        if gone is not other:
+            gone.lenient = True  # names that are not there are no error
+        return Node(parents=[self], dependencies=[gone], kind="subtract")
 
     def __rsub__(self, other: object) -> Node:
         return as_node(other) - self

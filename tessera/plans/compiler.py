@@ -72,6 +72,8 @@ class Compiler:
     def _eval(self, node: Node) -> Part:
         if node.kind == "selection":
             entries = [e for e in node.selector.resolve(self.schema) if not ({e} if isinstance(e, str) else set(e)) & self.removed]
+            if node.lenient:
+                entries = [n for n in flat(entries) if n in self.schema]
             names = flat(entries)
             unknown = [n for n in names if n not in self.schema]
             if unknown and len(self.schema):
