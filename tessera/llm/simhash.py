@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, as_buffer, checkpoint
+from .common import LOWER, SPACE, as_buffer, by_bytes, checkpoint, mixed, span_hashes, window_hashes, word_hashes, words
 from .graph import components, local_forest
 
 
@@ -131,13 +131,190 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(of_class, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, radius: int = 4) -> DataFrame:
-    """One document, all columns, of each group: the one with the smallest doc_id.
+# --- near copies at a similarity of word shingles ---------------------------
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each lower-cased text's k-word shingles.
+
+    Fewer than k words are one shingle; no words are the set {0}.
+    """
+    starts, ends, bounds = words(data, offsets, ~SPACE)
+    hashes = word_hashes(data, starts, ends)
+    windows, at = window_hashes(hashes, bounds, k)
+    cut = np.searchsorted(at, bounds)
+    for d in range(len(offsets) - 1):
+        own = hashes[bounds[d] : bounds[d + 1]]
+        if len(own) >= k:
+            yield np.unique(windows[cut[d] : cut[d + 1]])
+        elif len(own):
+            yield span_hashes(own, np.array([0]), np.array([len(own)]))
+        else:
+            yield np.zeros(1, np.uint64)
+
+
+def _each_set(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    data, offsets = as_buffer(batch.column(1))
+    for i, j in by_bytes(offsets, 1 << 20):
+        yield from shingle_sets(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], k)
+
+
+def sketch(hashes: np.ndarray, longs: int) -> bytes:
+    """64 * longs majority bits over a set of hashes, each from its own remixing."""
+    odd = mixed(np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
+    ones = np.zeros(64 * longs, np.int64)
+    for i in range(0, len(hashes), 255):  # a byte counts up to 255
+        x = mixed(hashes[i : i + 255, None] * odd)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A 64-bit name of a set, as a signed long."""
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+
+
+def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits, tables): bits follow the log of the input, tables follow the recall at ``similarity``.
+
+    Sets of equal size and Jaccard J have cosine 2J / (1 + J), so a bit differs
+    with probability acos(cosine) / pi; a table finds a pair within 2 bits.
+    """
+    bits = min(56, max(32, math.ceil(math.log2(max(2, n))) + 10))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    hit = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit))) if similarity < 1 else 1
+
+
+def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20) -> DataFrame:
+    """(a, b): candidate pairs of nodes, from balls of radius 1 around ``tables`` fingerprints.
+
+    classes has node and sketch.  Table t is bits [t * bits, (t + 1) * bits) of
+    the sketch.  Members of a value are paired with its least node and with the
+    next one in order, so a value gives rows in proportion to its members.
+    """
+    lead = max(1, min(24, math.ceil(math.log2(max(1, n) * (bits + 1) / bucket_values))))
+    low = bits - lead
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
+        masks = np.array([0, *[1 << i for i in range(lead)]], np.uint64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                node = batch.column(0).to_numpy()
+                raw, _ = as_buffer(batch.column(1).cast(pa.large_binary()))
+                on = np.unpackbits(raw.reshape(len(node), -1), axis=1)[:, : bits * tables]
+                fp = (on.reshape(len(node), tables, bits) * power).sum(2, dtype=np.uint64)
+                bucket = (fp >> np.uint64(low))[:, :, None] ^ masks
+                shape = bucket.shape
+                part = (np.arange(tables, dtype=np.int64)[None, :, None] << 32) + bucket.astype(np.int64)
+                spread = lambda x: np.broadcast_to(x, shape).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None]))], names=["part", "fp", "used", "node"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        used = table.column("used").to_numpy().astype(bool)
+        node = table.column("node").to_numpy()
+        order = np.lexsort((node, fp))
+        fp, used, node = fp[order], used[order], node[order]
+        a, b = _pairs(fp, node)
+        new = np.append(True, fp[1:] != fp[:-1])
+        fp, used, node = fp[new], used[new], node[new]
+        order = np.argsort(node, kind="stable")  # owners in order of their nodes
+        fp, used, node = fp[order], used[order], node[order]
+        width = max(1, int(len(node)).bit_length())
+        body, owner = fp & np.uint64((1 << low) - 1), np.arange(len(node), dtype=np.uint64)
+        if low + width > 64:
+            raise ValueError("a bucket holds too many fingerprints to be packed")
+        flip = np.array([0, *[1 << i for i in range(low)]], np.uint64)
+        near = ((body[~used, None] ^ flip) << np.uint64(width)) | owner[~used, None]
+        packed = np.sort(np.concatenate([near.ravel(), (body[used] << np.uint64(width)) | owner[used]]))
+        c, d = _pairs(packed >> np.uint64(width), node[(packed & np.uint64((1 << width) - 1)).astype(np.int64)])
+        pairs = np.unique(np.stack([np.append(a, c), np.append(b, d)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return classes.select("node", "sketch").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _pairs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of equal values: (first, member) and (member before, member), lesser node first."""
+    if not len(value):
+        return node, node
+    new = np.append(True, value[1:] != value[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rest = np.flatnonzero(~new)
+    a, b = np.append(node[first[rest]], node[rest - 1]), np.append(node[rest], node[rest])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+    """doc_id and component_id of every row: groups linked at a Jaccard similarity of k-word shingles.
+
+    One 64-bit fingerprint is too coarse for a similarity of 0.8 (about 10 bits
+    differ), so a document has several shorter ones and pairs within 2 bits in
+    any of them are candidates.  All bits together estimate a pair's
+    similarity: three standard errors above the threshold links, three below
+    does not, and what lies between is decided on the shingle sets themselves
+    unless its groups are linked already.
+
+    Equal sets are one node.  Null, empty and blank texts are equal sets;
+    repeated rows link.  ``recall`` is that of a pair right at the threshold.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    n = texts.count()
+    bits, tables = table_plan(n, similarity, recall)
+    longs = -(-bits * tables // 64)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(set_id(h), sketch(h, longs)) for h in _each_set(batch, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["doc_id", "node", "sketch"])
+
+    rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary"))
+    classes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
+    pair = candidates(classes, n, bits, tables).join(of("a"), "a").join(of("b"), "b")
+    eight = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    differ = sum((F.bit_count(eight("s_a", i).bitwiseXOR(eight("s_b", i))) for i in range(longs)), F.lit(0))
+    c = F.cos(F.lit(math.pi) * differ / (64 * longs))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    error = 2 / (2 - 2 * similarity / (1 + similarity)) ** 2 * math.pi * math.sin(math.pi * p) * math.sqrt(p * (1 - p) / (64 * longs))
+    pair = checkpoint(pair.select("a", "b", (c / (2 - c)).alias("j")).where(F.col("j") >= similarity - 3 * error))
+    sure = components(pair.where(F.col("j") >= similarity + 3 * error))
+
+    def rooted(df: DataFrame, c: str, roots: DataFrame) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(c) == F.col("__n"), "left").withColumn(f"r_{c}", F.coalesce("__r", c)).drop("__n", "__r")
+
+    open_ = checkpoint(rooted(rooted(pair.where(F.col("j") < similarity + 3 * error), "a", sure), "b", sure).where("r_a <> r_b").drop("j"))
+    ends = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
+    wanted = classes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h in _each_set(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(h)]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["n", "s"])
+
+    full = checkpoint(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s array<long>").join(ends, F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"]))
+    met = open_.join(full.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    found = rooted(rooted(classes.select("node", "least"), "node", sure), "r_node", components(linked))
+    named = found.groupBy("r_r_node").agg(F.min("least").alias("component_id"))
+    of_node = found.select(F.col("node").alias("n"), "r_r_node").join(named, "r_r_node")
+    return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document, all columns, of each group of near copies: the one with the smallest doc_id.
 
     Repeated rows with that doc_id are cut to one; rows without a doc_id, which
     cannot be told apart, stay as they are.
     """
-    found = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id, text, k, radius)
+    found = near_copies(docs.where(F.col(doc_id).isNotNull()), doc_id, text, k, similarity)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     stay = docs.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi").dropDuplicates([doc_id])
     return stay.unionByName(docs.where(F.col(doc_id).isNull()))

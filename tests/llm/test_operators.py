@@ -260,3 +260,33 @@ def test_toxicity_learns_and_scores_blanks(spark):
     df = spark.createDataFrame([(1, " ".join(WORDS)), (2, " ".join(WORDS) + " so nasty nasty " + " ".join(WORDS)), (3, None), (4, "...")], "doc_id long, text string")
     got = {x.doc_id: x.score for x in toxicity.score(df, net).collect()}
     assert got[1] < 0.5 < got[2] and got[3] == got[4] == 0.0
+
+
+def test_near_copies_match_brute_force(spark, docs, empty):
+    r = random.Random(9)
+    texts = list(TEXTS)
+    for _ in range(25):
+        base = [f"v{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        for edits in (0, 1, 2, 3, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = f"e{r.randrange(5000)}"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, node long")
+    sets = []
+    for t in texts:
+        w = tokens(low(t))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
+    assert sum(got[i] == x for i, x in enumerate(root)) >= 0.97 * len(root)
+    assert all(got[i] in (x, i) or root[got[i]] == x for i, x in enumerate(root))  # no link that is not there
+    kept = simhash.dedup(frame)
+    assert kept.columns == frame.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({*got.values()})
+    assert simhash.near_copies(empty).count() == 0 and simhash.dedup(empty).count() == 0
