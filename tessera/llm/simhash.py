@@ -191,9 +191,10 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
 def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20) -> DataFrame:
     """(a, b): candidate pairs of nodes, from balls of radius 1 around ``tables`` fingerprints.
 
-    classes has node and sketch.  Table t is bits [t * bits, (t + 1) * bits) of
-    the sketch.  Members of a value are paired with its least node and with the
-    next one in order, so a value gives rows in proportion to its members.
+    classes has node, sketch and label.  Table t is bits [t * bits, (t + 1) *
+    bits) of the sketch.  Members of a value are paired with its least node and
+    with the next one in order, so a value gives rows in proportion to its
+    members.  Nodes of one label are linked already and are not paired.
     """
     lead = max(1, min(24, math.ceil(math.log2(max(1, n) * (bits + 1) / bucket_values))))
     low = bits - lead
@@ -204,7 +205,7 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                node = batch.column(0).to_numpy()
+                node, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 raw, _ = as_buffer(batch.column(1).cast(pa.large_binary()))
                 on = np.unpackbits(raw.reshape(len(node), -1), axis=1)[:, : bits * tables]
                 fp = (on.reshape(len(node), tables, bits) * power).sum(2, dtype=np.uint64)
@@ -212,12 +213,14 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
                 shape = bucket.shape
                 part = (np.arange(tables, dtype=np.int64)[None, :, None] << 32) + bucket.astype(np.int64)
                 spread = lambda x: np.broadcast_to(x, shape).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None]))], names=["part", "fp", "used", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None])), pa.array(spread(label[:, None, None]))], names=["part", "fp", "used", "node", "label"])
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         used = table.column("used").to_numpy().astype(bool)
-        node = table.column("node").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        by_node = np.argsort(node)
+        nodes, labels = node[by_node], label[by_node]
         order = np.lexsort((node, fp))
         fp, used, node = fp[order], used[order], node[order]
         a, b = _pairs(fp, node)
@@ -233,10 +236,12 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
         near = ((body[~used, None] ^ flip) << np.uint64(width)) | owner[~used, None]
         packed = np.sort(np.concatenate([near.ravel(), (body[used] << np.uint64(width)) | owner[used]]))
         c, d = _pairs(packed >> np.uint64(width), node[(packed & np.uint64((1 << width) - 1)).astype(np.int64)])
-        pairs = np.unique(np.stack([np.append(a, c), np.append(b, d)], 1), axis=0)
+        a, b = np.append(a, c), np.append(b, d)
+        new = labels[np.searchsorted(nodes, a)] != labels[np.searchsorted(nodes, b)]
+        pairs = np.unique(np.stack([a[new], b[new]], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return classes.select("node", "sketch").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return classes.select("node", "sketch", "label").mapInArrow(route, "part long, fp long, used boolean, node long, label long").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _pairs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +263,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     any of them are candidates.  All bits together estimate a pair's
     similarity: three standard errors above the threshold links, three below
     does not, and what lies between is decided on the shingle sets themselves
-    unless its groups are linked already.
+    unless its groups are linked already.  A first round looks at two candidates
+    of each node, which joins the members of large groups; the second one looks
+    at all candidates in different groups.
 
     Equal sets are one node.  Null, empty and blank texts are equal sets;
     repeated rows link.  ``recall`` is that of a pair right at the threshold.
@@ -275,23 +282,41 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["doc_id", "node", "sketch"])
 
     rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary"))
-    classes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
-    pair = candidates(classes, n, bits, tables).join(of("a"), "a").join(of("b"), "b")
-    eight = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    differ = sum((F.bit_count(eight("s_a", i).bitwiseXOR(eight("s_b", i))) for i in range(longs)), F.lit(0))
-    c = F.cos(F.lit(math.pi) * differ / (64 * longs))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")).withColumn("label", F.col("node")))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = 2 / (2 - 2 * similarity / (1 + similarity)) ** 2 * math.pi * math.sin(math.pi * p) * math.sqrt(p * (1 - p) / (64 * longs))
-    pair = checkpoint(pair.select("a", "b", (c / (2 - c)).alias("j")).where(F.col("j") >= similarity - 3 * error))
-    sure = components(pair.where(F.col("j") >= similarity + 3 * error))
+    for every in (False, True):
+        pair = candidates(nodes, n, bits, tables)
+        if not every:
+            pair = pair.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a")).select(F.explode("a").alias("a"), "b")
+        estimated = checkpoint(_estimated(pair, nodes, longs).where(F.col("j") >= similarity - 3 * error))
+        nodes = _merged(nodes, estimated.where(F.col("j") >= similarity + 3 * error).select(F.col("l_a").alias("a"), F.col("l_b").alias("b")))
+        unsure = estimated.where(F.col("j") < similarity + 3 * error).select("a", "b")
+        nodes = _merged(nodes, _exact(unsure, nodes, texts, k, similarity))
+    smallest = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_node = nodes.select(F.col("node").alias("n"), "label").join(smallest, "label")
+    return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
+def _labelled(pair: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """The pairs with l_a, l_b and the columns ``more`` of both nodes."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in more])
+    return pair.join(of("a"), "a").join(of("b"), "b")
+
+
+def _estimated(pair: DataFrame, nodes: DataFrame, longs: int) -> DataFrame:
+    """a, b, their labels and j, the similarity that their sketches tell."""
+    eight = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    differ = sum((F.bit_count(eight("sketch_a", i).bitwiseXOR(eight("sketch_b", i))) for i in range(longs)), F.lit(0))
+    c = F.cos(F.lit(math.pi) * differ / (64 * longs))
+    return _labelled(pair, nodes, "sketch").select("a", "b", "l_a", "l_b", (c / (2 - c)).alias("j"))
 
-    def rooted(df: DataFrame, c: str, roots: DataFrame) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(c) == F.col("__n"), "left").withColumn(f"r_{c}", F.coalesce("__r", c)).drop("__n", "__r")
 
-    open_ = checkpoint(rooted(rooted(pair.where(F.col("j") < similarity + 3 * error), "a", sure), "b", sure).where("r_a <> r_b").drop("j"))
-    ends = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id"))
+def _exact(pair: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): labels of the pairs, of two labels each, that are similar by their shingle sets."""
+    pair = checkpoint(_labelled(pair, nodes).where("l_a <> l_b"))
+    ends = pair.select(F.col("a").alias("node")).union(pair.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,13 +324,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(h)]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["n", "s"])
 
     full = checkpoint(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s array<long>").join(ends, F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"]))
-    met = open_.join(full.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
+    met = pair.join(full.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    linked = met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    found = rooted(rooted(classes.select("node", "least"), "node", sure), "r_node", components(linked))
-    named = found.groupBy("r_r_node").agg(F.min("least").alias("component_id"))
-    of_node = found.select(F.col("node").alias("n"), "r_r_node").join(named, "r_r_node")
-    return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    return met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
+
+
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with the least label that links between labels reach."""
+    roots = components(links).select(F.col("node").alias("__n"), "root")
+    return checkpoint(nodes.join(roots, F.col("label") == F.col("__n"), "left").withColumn("label", F.coalesce("root", "label")).drop("__n", "root"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
