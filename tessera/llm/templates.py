@@ -10,7 +10,9 @@ dropped, all lines of them.
 
 Recurring means at least ``min_lines`` lines of at least two documents; both are
 sums and extremes, which pre-aggregate, so a line in a third of all documents
-is a row per task.  Rows are told apart by doc_id and text; equal rows are
+is a row per task.  The counts are joined back on the key's complement: that gives
+them a shuffle of their own, without which adaptive execution can't split the
+lines of one hot template or place over tasks.  Rows are told apart by doc_id and text; equal rows are
 judged alike.  Blank lines are no lines.  Null texts have none.
 """
 
@@ -57,13 +59,13 @@ def recurring(docs: DataFrame, min_lines: int = 3, share: float = 0.5) -> DataFr
     held = every.select("row", "line", "n", "leaf", hashes.alias("h")).join(leaves, F.col("leaf") == F.col("l")).drop("l")
     tokens = held.select("row", "line", "n", "leaf", F.posexplode("h").alias("at", "token")).withColumn("place", F.xxhash64("leaf", "at", "token")).select("row", "line", "n", "leaf", "place")
     tokens = checkpoint(tokens)
-    fixed = _counted(tokens.select("row", "place"), "place").where(_recurs(min_lines)).select(F.col("place").alias("p"))
-    constant = tokens.join(fixed, F.col("place") == F.col("p"))
+    fixed = _counted(tokens.select("row", "place"), "place").where(_recurs(min_lines)).select(F.bitwise_not("place").alias("p"))
+    constant = tokens.join(fixed, F.bitwise_not("place") == F.col("p"))
     # the combined hashes of (leaf, place, token) are the template: they hold the constants and where they stand
     shaped = constant.groupBy("row", "line", "n", "leaf").agg(F.bit_xor("place").alias("template"), F.count("*").alias("kept")).where(F.col("kept") >= share * F.col("n"))
     shaped = shaped.withColumn("template", F.xxhash64("leaf", "template", "kept"))
-    good = _counted(shaped, "template").where(_recurs(min_lines)).select(F.col("template").alias("g"))
-    return shaped.join(good, F.col("template") == F.col("g")).select("row", "line")
+    good = _counted(shaped, "template").where(_recurs(min_lines)).select(F.bitwise_not("template").alias("g"))
+    return shaped.join(good, F.bitwise_not("template") == F.col("g")).select("row", "line")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
