@@ -146,13 +146,15 @@ class Items:
         self.window_item, self.window_len = item[chosen], np.minimum(window, left[chosen])
         wide = np.arange(window)
         self.windows = np.where(wide < self.window_len[:, None], padded[chosen[:, None] + wide], 0)
-        self.suffix_item, self.window_suffix = item, chosen
-
-    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, words, item) of all places of windows in a shard; (words, place) of each suffix's longest match."""
-        none = np.zeros(0, np.int64)
-        if not len(hashes) or not len(self.windows):
-            return none, none, none, np.zeros(len(self.suffixes), np.int64), none
+        self.window_suffix = chosen
+        #: the suffixes of all items of a name
+        self.suffixes_of: dict[str, np.ndarray] = {}
+        for i, name in enumerate(ids):
+            own = np.arange(bounds[i], bounds[i + 1])
+            self.suffixes_of[name] = np.append(self.suffixes_of[name], own) if name in self.suffixes_of else own
+
+    def shard(self, hashes: np.ndarray, bounds: np.ndarray) -> SuffixArray:
+        """The suffix array of a shard's documents; word w of document d is at w + d."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = np.where(self.vocabulary[at] == hashes, at + 1, 0)
         # a 0 after each document keeps matches inside one
@@ -165,7 +167,14 @@ class Items:
         held = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
         kept = np.zeros(len(spaced), np.int64)
         kept[held] = spaced[held]
-        array = SuffixArray(kept, self.longest)
+        return SuffixArray(kept, self.longest)
+
+    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, item) of all places of windows in a shard; (words, place) of each suffix's longest match."""
+        none = np.zeros(0, np.int64)
+        if not len(hashes) or not len(self.windows):
+            return none, none, none, np.zeros(len(self.suffixes), np.int64), none
+        array = self.shard(hashes, bounds)
         length, place = array.longest_matches(self.suffixes)
         back = lambda p: p - np.searchsorted(bounds[1:] + np.arange(len(bounds) - 1), p, "left")
         # a window occurs if the longest match of the suffix it begins covers it
@@ -230,7 +239,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id"
                             s += np.stack([edges[::2], edges[1::2] - edges[::2]], 1).ravel().tolist()
                             here = sorted({items.value.names[item[k]] for k in by_doc[d]})
                             names_ += here
-                            one = _longest(items.value, hashes[bounds[d] : bounds[d + 1]], set(here))
+                            one = _longest(items.value, hashes[bounds[d] : bounds[d + 1]], here)
                             best = one if best is None or one["n_words"] > best["n_words"] else best
                         spans.append(s)
                         names.append(names_)
@@ -246,10 +255,18 @@ def find_contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id"
     return out
 
 
-def _longest(items: Items, hashes: np.ndarray, named: set[str]) -> dict:
-    """The longest match of one document's words with the named items; the first of equals."""
-    *_, length, place = items.find(hashes, np.array([0, len(hashes)]))
-    n, at, item = max((n, -p, items.names[i]) for n, p, i in zip(length.tolist(), place.tolist(), items.suffix_item.tolist(), strict=True) if items.names[i] in named)
+def _longest(items: Items, hashes: np.ndarray, named: list[str]) -> dict:
+    """The longest match of one document's words with the named items; the first of equals.
+
+    Only the suffixes of these items are searched for.
+    """
+    array = items.shard(hashes, np.array([0, len(hashes)]))
+    found = []
+    for name in named:
+        length, place = array.longest_matches(items.suffixes[items.suffixes_of[name]])
+        n = int(length.max())
+        found.append((n, -int(place[length == n].min()), name))
+    n, at, item = max(found)
     return {"item_id": item, "n_words": n, "first_word": -at}
 
 
