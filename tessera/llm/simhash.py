@@ -21,7 +21,7 @@ Repeated rows link; the component is the smallest doc_id reached.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -188,12 +188,15 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit))) if similarity < 1 else 1
 
 
-def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20) -> DataFrame:
-    """(a, b): candidate pairs of nodes, from balls of radius 1 around ``tables`` fingerprints.
+def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20, block: int = 1024) -> DataFrame:
+    """(cloud, node): groups of nodes in which every candidate pair is together at least once.
 
-    classes has node and sketch.  Table t is bits [t * bits, (t + 1) * bits) of
-    the sketch.  Members of a value are paired with its least node and with the
-    next one in order, so a value gives rows in proportion to its members.
+    classes has node, sketch and prefix.  Table t is bits [t * bits, (t + 1) *
+    bits) of the sketch; nodes within 2 bits share a value of their balls of
+    radius 1.  Small sets also meet at the shingles of their prefix.  Sharing a
+    value proves no link, so nobody stands for others: all who are joined by
+    shared values in a bucket are a cloud, a row for each member.  A cloud above
+    ``block`` members is dealt to all pairs of its blocks.
     """
     lead = max(1, min(24, math.ceil(math.log2(max(1, n) * (bits + 1) / bucket_values))))
     low = bits - lead
@@ -201,6 +204,7 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
         masks = np.array([0, *[1 << i for i in range(lead)]], np.uint64)
+        names = ["part", "fp", "used", "node"]
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -212,7 +216,12 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
                 shape = bucket.shape
                 part = (np.arange(tables, dtype=np.int64)[None, :, None] << 32) + bucket.astype(np.int64)
                 spread = lambda x: np.broadcast_to(x, shape).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None]))], names=["part", "fp", "used", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None]))], names=names)
+                blobs = batch.column(2).to_pylist()
+                key = np.frombuffer(b"".join(blobs), np.uint64)
+                owner = np.repeat(node, [len(x) // 8 for x in blobs])
+                part = (tables << 32) + (key >> np.uint64(64 - lead)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), bool)), pa.array(owner)], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -220,46 +229,136 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
         node = table.column("node").to_numpy()
         order = np.lexsort((node, fp))
         fp, used, node = fp[order], used[order], node[order]
-        a, b = _pairs(fp, node)
-        new = np.append(True, fp[1:] != fp[:-1])
-        fp, used, node = fp[new], used[new], node[new]
-        order = np.argsort(node, kind="stable")  # owners in order of their nodes
-        fp, used, node = fp[order], used[order], node[order]
-        width = max(1, int(len(node)).bit_length())
-        body, owner = fp & np.uint64((1 << low) - 1), np.arange(len(node), dtype=np.uint64)
-        if low + width > 64:
-            raise ValueError("a bucket holds too many fingerprints to be packed")
-        flip = np.array([0, *[1 << i for i in range(low)]], np.uint64)
-        near = ((body[~used, None] ^ flip) << np.uint64(width)) | owner[~used, None]
-        packed = np.sort(np.concatenate([near.ravel(), (body[used] << np.uint64(width)) | owner[used]]))
-        c, d = _pairs(packed >> np.uint64(width), node[(packed & np.uint64((1 << width) - 1)).astype(np.int64)])
-        pairs = np.unique(np.stack([np.append(a, c), np.append(b, d)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return classes.select("node", "sketch").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
-
-
-def _pairs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each run of equal values: (first, member) and (member before, member), lesser node first."""
-    if not len(value):
-        return node, node
-    new = np.append(True, value[1:] != value[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    rest = np.flatnonzero(~new)
-    a, b = np.append(node[first[rest]], node[rest - 1]), np.append(node[rest], node[rest])
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+        a, b = _chained(fp, node)
+        if table.column("part")[0].as_py() >> 32 < tables:
+            new = np.append(True, fp[1:] != fp[:-1])
+            fp, used, node = fp[new], used[new], node[new]
+            width = max(1, int(len(node)).bit_length())
+            body, owner = fp & np.uint64((1 << low) - 1), np.arange(len(node), dtype=np.uint64)
+            if low + width > 64:
+                raise ValueError("a bucket holds too many fingerprints to be packed")
+            flip = np.array([0, *[1 << i for i in range(low)]], np.uint64)
+            near = ((body[~used, None] ^ flip) << np.uint64(width)) | owner[~used, None]
+            packed = np.sort(np.concatenate([near.ravel(), (body[used] << np.uint64(width)) | owner[used]]))
+            c, d = _chained(packed >> np.uint64(width), node[(packed & np.uint64((1 << width) - 1)).astype(np.int64)])
+            a, b = np.append(a, c), np.append(b, d)
+        cloud, member = _dealt(*local_forest(a, b), block)
+        return pa.table({"cloud": cloud, "node": member})
+
+    return classes.select("node", "sketch", "prefix").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "cloud long, node long").distinct()
+
+
+def _chained(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of equal values: (member before, member)."""
+    rest = np.flatnonzero(value[1:] == value[:-1]) + 1
+    return node[rest - 1], node[rest]
+
+
+def _dealt(node: np.ndarray, root: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cloud, member) of a forest's groups; a cloud is named after its members, so that equal ones are one."""
+    roots = np.unique(root)
+    member, of = np.concatenate([roots, node]), np.concatenate([roots, root])
+    order = np.lexsort((member, of))
+    member, of = member[order], of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(of)))
+    name = mixed(np.add.reduceat(mixed(member.view(np.uint64)), first)) if len(of) else np.zeros(0, np.uint64)
+    one = np.repeat(size <= block, size)
+    clouds, members = [np.repeat(name, size)[one]], [member[one]]
+    for g in np.flatnonzero(size > block):
+        parts = np.array_split(member[first[g] : first[g] + size[g]], -(-size[g] // block))
+        for i, j in combinations(range(len(parts)), 2):
+            both = np.append(parts[i], parts[j])
+            members.append(both)
+            clouds.append(mixed(np.full(len(both), name[g] ^ np.uint64((i << 32) + j + 1))))
+    return np.concatenate(clouds).view(np.int64), np.concatenate(members)
+
+
+def _grown(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root), places of 0 to n - 1: a spanning forest of all pairs that are near.
+
+    near(i, rest) says who of rest is near i.  Each is held once against all
+    who have not been reached, so pairs within a group are all that is skipped.
+    """
+    left, members, roots = np.arange(n), [], []
+    while len(left):
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            hit = near(queue.pop(), left)
+            if hit.any():
+                members.append(left[hit])
+                roots.append(np.full(len(members[-1]), root))
+                queue.extend(members[-1].tolist())
+                left = left[~hit]
+    return (np.concatenate(members), np.concatenate(roots)) if members else (left[:0], left[:0])
+
+
+def _runs(key: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each key's rows."""
+    order = np.argsort(key, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+
+
+def alike(sketches: np.ndarray, size: np.ndarray, similarity: float, most: float, loose: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest, of places, of all pairs that may reach the similarity: by their sizes and the share of differing bits.
+
+    ``most`` bounds the share; where a set is small, ``loose`` does.
+    """
+    longs = sketches.shape[1]
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        s = size[rest]
+        less = np.minimum(s, size[i])
+        out = less >= similarity * np.maximum(s, size[i]) - 1e-9
+        at = np.flatnonzero(out)
+        differ = np.bitwise_count(sketches[rest[at]] ^ sketches[i]).sum(1, dtype=np.int64)
+        out[at] = differ <= 64 * longs * np.where(less[at] < SMALL, loose, most)
+        return out
+
+    return _grown(len(size), near)
+
+
+def verified(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest, of places, of all pairs of sets whose Jaccard similarity is at least ``similarity``."""
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    end = np.cumsum(size)
+    own = np.zeros(int(ids.max()) + 1, bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        s = size[rest]
+        out = np.minimum(s, size[i]) >= similarity * np.maximum(s, size[i]) - 1e-9
+        if out.any():
+            mine = ids[end[i] - size[i] : end[i]]
+            own[mine] = True
+            total = np.append(0, np.cumsum(own[ids], dtype=np.int64))
+            own[mine] = False
+            both = total[end[rest]] - total[end[rest] - s]
+            out &= both >= similarity * (s + size[i] - both)
+        return out
+
+    return _grown(len(sets), near)
+
+
+#: Sets below so many shingles have a looser bound of differing bits, and meet by their prefix also.
+SMALL = 0
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:
     """doc_id and component_id of every row: groups linked at a Jaccard similarity of k-word shingles.
 
     One 64-bit fingerprint is too coarse for a similarity of 0.8 (about 10 bits
     differ), so a document has several shorter ones and pairs within 2 bits in
-    any of them are candidates.  All bits together estimate a pair's
-    similarity: three standard errors above the threshold links, three below
-    does not, and what lies between is decided on the shingle sets themselves
-    unless its groups are linked already.
-
+    any of them are candidates.  Sets below SMALL shingles are candidates at a
+    shared shingle of their prefix also, which misses none.  All bits together
+    estimate a pair's similarity: who is three standard errors below the
+    threshold (much further for small sets) is not held closer.  The others
+    form clusters, in which every pair of groups is decided on the shingle sets
+    themselves; the estimate alone links none.
+
+    A cluster is cut into blocks of about ``block`` sets and every pair of
+    blocks is one unit of work, so its rows are its sets times its blocks.
     Equal sets are one node.  Null, empty and blank texts are equal sets;
     repeated rows link.  ``recall`` is that of a pair right at the threshold.
     """
@@ -269,42 +368,62 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     bits, tables = table_plan(n, similarity, recall)
     longs = -(-bits * tables // 64)
 
+    def prefix(h: np.ndarray) -> bytes:
+        """The least hashes: two sets of the similarity, both sorted, share one of them."""
+        return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes() if len(h) < SMALL else b""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(set_id(h), sketch(h, longs)) for h in _each_set(batch, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["doc_id", "node", "sketch"])
-
-    rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary"))
-    classes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
-    pair = candidates(classes, n, bits, tables).join(of("a"), "a").join(of("b"), "b")
-    eight = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    differ = sum((F.bit_count(eight("s_a", i).bitwiseXOR(eight("s_b", i))) for i in range(longs)), F.lit(0))
-    c = F.cos(F.lit(math.pi) * differ / (64 * longs))
+            made = [(set_id(h), sketch(h, longs), len(h), prefix(h)) for h in _each_set(batch, k)]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in made], t) for c, t in enumerate(kinds)]], names=["doc_id", "node", "sketch", "size", "prefix"])
+
+    rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary, size long, prefix binary"))
+    classes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("sketch", "size", "prefix")]))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = 2 / (2 - 2 * similarity / (1 + similarity)) ** 2 * math.pi * math.sin(math.pi * p) * math.sqrt(p * (1 - p) / (64 * longs))
-    pair = checkpoint(pair.select("a", "b", (c / (2 - c)).alias("j")).where(F.col("j") >= similarity - 3 * error))
-    sure = components(pair.where(F.col("j") >= similarity + 3 * error))
-
-    def rooted(df: DataFrame, c: str, roots: DataFrame) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(c) == F.col("__n"), "left").withColumn(f"r_{c}", F.coalesce("__r", c)).drop("__n", "__r")
-
-    open_ = checkpoint(rooted(rooted(pair.where(F.col("j") < similarity + 3 * error), "a", sure), "b", sure).where("r_a <> r_b").drop("j"))
-    ends = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id"))
+    least = max(0.0, similarity - 3 * error)
+    most = math.acos(2 * least / (1 + least)) / math.pi
+    loose = max(most, min(0.35, p + 0.15))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+        raw, _ = as_buffer(table.column("sketch").cast(pa.large_binary()))
+        sketches = raw.reshape(len(node), -1).copy().view(np.uint64)
+        found = [(node[at[x]], node[at[y]]) for at in _runs(table.column("cloud").to_numpy()) for x, y in [alike(sketches[at], size[at], similarity, most, loose)]]
+        forest = local_forest(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        return pa.table({"a": forest[0], "b": forest[1]})
+
+    near = candidates(classes, n, bits, tables).join(classes.select("node", "sketch", "size"), "node")
+    near = near.withColumn("task", F.pmod("cloud", F.lit(max(16, n // 2000)))).groupBy("task").applyInArrow(compare, "a long, b long")
+    forest = components(near)
+    cluster = checkpoint(classes.select("node", "least", "size").join(forest.select(F.col("node").alias("n"), "root").union(forest.select("root", "root").distinct()), F.col("node") == F.col("n")).drop("n"))
+    blocks = cluster.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (1024 * block))).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = cluster.join(blocks, "root").withColumn("own", own)
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(other)).select("node", "size", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+    dealt = checkpoint(dealt)
+    units = max(16, (dealt.agg(F.sum("size")).first()[0] or 0) >> 19)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h in _each_set(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(h)]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["n", "s"])
-
-    full = checkpoint(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s array<long>").join(ends, F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"]))
-    met = open_.join(full.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    found = rooted(rooted(classes.select("node", "least"), "node", sure), "r_node", components(linked))
-    named = found.groupBy("r_r_node").agg(F.min("least").alias("component_id"))
-    of_node = found.select(F.col("node").alias("n"), "r_r_node").join(named, "r_r_node")
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(h)]), pa.array([h.tobytes()], pa.binary())], names=["n", "s"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, blobs = table.column("node").to_numpy(), table.column("s")
+        found = [(node[at[x]], node[at[y]]) for at in _runs(table.column("unit").to_numpy()) for x, y in [verified([np.frombuffer(blobs[i].as_py(), np.uint64) for i in at.tolist()], similarity)]]
+        forest = local_forest(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        return pa.table({"a": forest[0], "b": forest[1]})
+
+    wanted = cluster.select(F.col("least").alias("doc_id"))
+    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s binary").join(cluster.select("node"), F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"])
+    linked = dealt.join(full, F.col("node") == F.col("n")).select("unit", "node", "s", F.pmod("unit", F.lit(units)).alias("task")).groupBy("task").applyInArrow(verify, "a long, b long")
+    joined = components(linked).select(F.col("node").alias("n"), "root")
+    found = classes.select("node", "least").join(joined, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = found.select(F.col("node").alias("n"), "root").join(named, "root")
     return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
 
 

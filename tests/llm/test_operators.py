@@ -290,3 +290,39 @@ def test_near_copies_match_brute_force(spark, docs, empty):
     assert kept.columns == frame.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted({*got.values()})
     assert simhash.near_copies(empty).count() == 0 and simhash.dedup(empty).count() == 0
+
+
+def test_near_copies_in_a_crowd_match_brute_force(spark):
+    r = random.Random(4)
+    core = [f"c{i}" for i in range(320)]
+    texts = []
+    for g in range(220):  # a crowd a little below the threshold, with pairs a little above it
+        base = list(core)
+        for i in r.sample(range(320), 5):
+            base[i] = f"g{g}x{i}"
+        for m in range(2):
+            one = list(base)
+            for i in r.sample(range(320), 3):
+                one[i] = f"g{g}m{m}x{i}"
+            texts.append(" ".join(one))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = [top(i) for i in range(len(texts))]
+    assert 50 < len(set(want)) < len(want)  # neither all alone nor all one
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.component_id for x in simhash.near_copies(frame, block=64).orderBy("doc_id").collect()]
+    assert got == want
