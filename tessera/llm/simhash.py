@@ -341,8 +341,8 @@ def verified(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
     return _grown(len(sets), near)
 
 
-#: Sets below so many shingles have a looser bound of differing bits, and meet by their prefix also.
-SMALL = 0
+#: Below so many shingles ties of the majority bits bend the estimate, and prefixes are short.
+SMALL = 40
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:

@@ -326,3 +326,13 @@ def test_near_copies_in_a_crowd_match_brute_force(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [x.component_id for x in simhash.near_copies(frame, block=64).orderBy("doc_id").collect()]
     assert got == want
+
+
+def test_near_copies_of_few_words(spark):
+    texts = []
+    for g in range(100):  # 4 shingles in 5: a similarity of 0.8
+        words = [f"s{g}w{i}" for i in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
