@@ -13,6 +13,8 @@ pass that adds to the spans found so far, so the items may grow.
 
 Null or empty texts have no words and are clean; items without words find
 nothing; repeated item_ids count once; repeated documents are judged each.
+Items without an id are searched for like others, but are not among the items
+named.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ class SuffixArray:
 class Items:
     """A block of test items: vocabulary, suffixes and windows."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int) -> None:
         data, offsets = as_buffer(pa.array([x or "" for x in texts], pa.string()))
         data = LOWER[data]
         starts, ends, bounds = words(data, offsets, INSIDE)
@@ -148,7 +150,7 @@ class Items:
         self.windows = np.where(wide < self.window_len[:, None], padded[chosen[:, None] + wide], 0)
         self.window_suffix = chosen
         #: the suffixes of all items of a name
-        self.suffixes_of: dict[str, np.ndarray] = {}
+        self.suffixes_of: dict[str | None, np.ndarray] = {}
         for i, name in enumerate(ids):
             own = np.arange(bounds[i], bounds[i + 1])
             self.suffixes_of[name] = np.append(self.suffixes_of[name], own) if name in self.suffixes_of else own
@@ -187,14 +189,14 @@ class Items:
         return found, self.window_len[chosen][which], self.window_item[chosen][which], length, np.where(length > 0, back(np.maximum(place, 0)), -1)
 
 
-def _blocks(bench: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list[str], list[str | None]]]:
+def _blocks(bench: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list[str | None], list[str | None]]]:
     """Test items in blocks of bounded size, one block on the driver at a time."""
     rows = bench.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        got = part.where("i is not null").collect()
+        got = part.collect()
         yield [r.i for r in got], [r.t for r in got]
 
 
@@ -237,8 +239,8 @@ def find_contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id"
                             own = np.concatenate([[False], on[bounds[d] + 1 : bounds[d + 1] + 1], [False]])
                             edges = np.flatnonzero(own[1:] != own[:-1])
                             s += np.stack([edges[::2], edges[1::2] - edges[::2]], 1).ravel().tolist()
-                            here = sorted({items.value.names[item[k]] for k in by_doc[d]})
-                            names_ += here
+                            here = {items.value.names[item[k]] for k in by_doc[d]}
+                            names_ += sorted(here - {None})
                             one = _longest(items.value, hashes[bounds[d] : bounds[d + 1]], here)
                             best = one if best is None or one["n_words"] > best["n_words"] else best
                         spans.append(s)
@@ -255,7 +257,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id"
     return out
 
 
-def _longest(items: Items, hashes: np.ndarray, named: list[str]) -> dict:
+def _longest(items: Items, hashes: np.ndarray, named: set[str | None]) -> dict:
     """The longest match of one document's words with the named items; the first of equals.
 
     Only the suffixes of these items are searched for.
@@ -265,9 +267,9 @@ def _longest(items: Items, hashes: np.ndarray, named: list[str]) -> dict:
     for name in named:
         length, place = array.longest_matches(items.suffixes[items.suffixes_of[name]])
         n = int(length.max())
-        found.append((n, -int(place[length == n].min()), name))
-    n, at, item = max(found)
-    return {"item_id": item, "n_words": n, "first_word": -at}
+        found.append((n, -int(place[length == n].min()), name is not None, name or ""))
+    n, at, known, item = max(found)
+    return {"item_id": item if known else None, "n_words": n, "first_word": -at}
 
 
 def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
@@ -294,4 +296,4 @@ def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents, all columns, in which no test window occurs."""
-    return find_contamination(docs, bench, **options).where(F.size("__items") == 0).select(*docs.columns)
+    return find_contamination(docs, bench, **options).where(F.size("__spans") == 0).select(*docs.columns)

@@ -336,3 +336,12 @@ def test_near_copies_of_few_words(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
     assert got == {i: i - i % 2 for i in range(200)}
+
+
+def test_benchmark_items_without_an_id_are_searched_for(spark):
+    frame = spark.createDataFrame([(1, PASSAGE), (2, "one two three four"), (3, f"start {PASSAGE} tail"), (4, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, PASSAGE), (None, "one two three"), ("a", " ".join(PASSAGE.split()[:12]))], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_item, r.longest_words, r.longest_at) for r in decontamination.report(frame, bench).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (30, 1, sha("a"), True, None, 30, 0), 2: (3, 0, sha(""), True, None, 3, 0), 3: (30, 1, sha("a"), True, None, 30, 1), 4: (0, 0, sha(""), False, None, None, None)}
+    assert [r.doc_id for r in decontamination.decontaminate(frame, bench).collect()] == [4]
