@@ -163,15 +163,15 @@ def window_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     return (span_hashes(hashes, at, at + k, _R1) if len(at) else np.zeros(0, np.uint64)), at
 
 
-def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
-    """Adds ``block``: a hash of the key into blocks of about block_bytes of text.
+def in_blocks(docs: DataFrame, keys: list[str], text: str, block_bytes: int, size: int | None = None) -> DataFrame:
+    """Adds ``block``: a hash of the keys into blocks of about block_bytes of text.
 
-    Rows with the same key share a block.  The count of blocks follows the size
-    of the input, so that a block's text fits a worker at every scale; a text
-    longer than that is a block's only large one.
+    Rows that agree in all keys share a block.  The count of blocks follows the
+    size of the input, so that a block's text fits a worker at every scale; a
+    text longer than that is a block's only large one.
     """
-    n = max(1, math.ceil(text_bytes(docs, text) / block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(n)))
+    n = max(1, math.ceil((text_bytes(docs, text) if size is None else size) / block_bytes))
+    return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
 
 
 def session(df: DataFrame) -> SparkSession:

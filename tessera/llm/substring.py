@@ -167,7 +167,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 def _passages(docs: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(documents in blocks, reference passages by the block that needs them)."""
-    dealt = in_blocks(docs.select("doc_id", "text"), "doc_id", "text", block_bytes)
+    dealt = in_blocks(docs.select("doc_id", "text"), ["doc_id", "text"], "text", block_bytes)
     buckets = max(1, -(-docs.count() // 1500))
 
     def ask_anchors(table: pa.Table) -> pa.Table:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontamination, embeddings, mixing, revisits, sharding, simhash, substring, templates, toxicity
+from tessera.llm import decontamination, embeddings, mixing, revisits, sharding, simhash, substring, templates, toxicity
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)]
@@ -206,27 +206,6 @@ def test_templates_drop_recurring_lines_only(spark):
     assert templates.report(df.limit(0)).count() == 0
 
 
-def test_context_tree_is_a_probability_and_base_matches(docs, empty):
-    got = {r.doc_id: r for r in ctw.report(docs, depth=3, block_bytes=4000).collect()}
-    count, ends = Counter(), 0
-    for i, t in enumerate(TEXTS):
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update(tokens(low(t)))
-            ends += 1
-    n, v = sum(count.values()) + ends, len(count) + 1
-    for i, t in enumerate(TEXTS):
-        w = tokens(low(t))
-        base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        assert (got[i].n_tokens, got[i].train_tokens) == (len(w) + 1, n) and got[i].base_score == pytest.approx(base) and got[i].score < 0
-        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
-    assert ctw.report(empty).count() == 0
-    x, at, _ = ctw.stream([b"abracadabra", b"", b"banana"], 2)
-    code, n = np.unique(ctw.gram_codes(x, at, 2), return_counts=True)
-    p = 10.0 ** ctw.Model(code, n, 2).table.astype(float)
-    a = p.shape[1] - 1
-    assert np.allclose(p[:, :a].sum(1) + p[:, a] * (256 - a), 1, atol=1e-5)
-
-
 def test_toxicity_gradients_and_learning():
     r = np.random.default_rng(0)
     net = toxicity.Network(np.sort(r.integers(0, 1 << 60, 5).astype(np.uint64)))
