@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lower-casing of A-Z only.
@@ -174,8 +174,24 @@ def in_blocks(docs: DataFrame, keys: list[str], text: str, block_bytes: int, siz
     return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such columns."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(df: DataFrame) -> str:
+    """df's columns as a DDL string."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -10,8 +10,11 @@ Training is plain numpy with hand-written gradients and Adam.  A label belongs
 to a text, not to a window, so each round the windows that score highest stand
 for their text (multiple-instance learning), beside random ones.
 
-Null, empty and wordless texts score 0.  Repeated rows score alike.  A text of
-any length is scored in pieces of bounded size.
+Null, empty and wordless texts score 0.  Repeated rows score alike and are
+learnt from once.  Rows with a null doc_id are scored like others; no label
+meets them.  A text of any length is scored in pieces of bounded size.  An empty
+table gives no rows; without labels of both kinds nothing is toxic.  Other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_buffer, by_bytes, crc_mod, mixed, word_hashes, words
+from .common import LOWER, as_buffer, by_bytes, crc_mod, ddl, fresh, mixed, quoted, word_hashes, words
 
 #: Letters, digits and everything beyond ASCII make words.
 INSIDE = np.zeros(256, bool)
@@ -226,16 +229,22 @@ class Batch:
         return np.where(np.isfinite(best), sigmoid(best), 0.0)
 
 
+def _document_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted word hashes, in how many texts each is)."""
+    found = [np.zeros(0, np.uint64)]
+    for i, j in by_bytes(offsets, 1 << 20):
+        part = LOWER[data[offsets[i] : offsets[j]]]
+        starts, ends, bounds = words(part, offsets[i : j + 1] - offsets[i], INSIDE)
+        hashes = word_hashes(part, starts, ends)
+        found += [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 0, rounds: int = 6, min_steps: int = 600, min_docs: int = 3, min_share: float = 0.003) -> Network:
     """Fits a network to labelled texts; without both labels it scores nothing as toxic."""
     rng = np.random.default_rng(seed)
     data, offsets = as_buffer(pa.array(texts, pa.string()))
-    lowered = LOWER[data]
-    starts, ends, bounds = words(lowered, offsets, INSIDE)
-    hashes = word_hashes(lowered, starts, ends)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    pairs = np.unique(np.stack([hashes, doc.astype(np.uint64)], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-    distinct, n_docs = np.unique(pairs[:, 0], return_counts=True)
+    distinct, n_docs = _document_counts(data, offsets)
     net = Network(distinct[n_docs >= max(min_docs, min_share * len(texts))], seed)
     if not 0 < labels.sum() < len(labels):
         net.p["bo"][:] = -20
@@ -246,7 +255,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0, rounds: int = 6,
     positive, negative = np.flatnonzero(truth == 1), np.flatnonzero(truth == 0)
     for r in range(rounds):
         if r == 0:  # windows of toxic texts, as many of others
-            pick = np.concatenate([rng.permutation(positive)[:10_000], rng.permutation(negative)[: max(len(positive[:10_000]), 2000)]])
+            pick = np.concatenate([positive, rng.permutation(negative)[: max(len(positive), 2000)]])
         else:  # the two highest windows of each toxic text, the highest of others, those that mislead, and random ones of clean texts
             logit = b.logits(net)
             order = np.lexsort((-logit, b.doc))
@@ -287,21 +296,32 @@ class Adam:
             self.p[k][at] -= (lr * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> tuple[list[str], np.ndarray]:
-    """At most so many texts of each label, chosen by a hash of doc_id, outside the held-out fold.
+def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, sample_bytes: int) -> tuple[list[str], np.ndarray]:
+    """At most so many texts of each label and so many bytes in all, outside the held-out fold.
 
-    The bound is on the sample of labelled rows that the classifier is fitted
-    to; rows without a doc_id, text or label are not used.
+    The bounds are on the sample of labelled rows that the classifier is fitted
+    to.  Labelled documents are taken by a hash of doc_id, one text each; each
+    label has its share of the bytes, and a text that no longer fits is passed
+    over.  Rows without a doc_id, text or label are not used.
     """
-    known = labels.where((crc_mod("doc_id", 3) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((F.col("toxic") == 1, toxic), (F.col("toxic") != 1, clean))]
-    few = F.broadcast(chosen[0].union(chosen[1]))  # at most toxic + clean rows of two numbers
-    got = docs.select("doc_id", "text").join(few, "doc_id").where("text is not null").orderBy("doc_id", "text").collect()
-    return [r.text for r in got], np.array([int(r.toxic == 1) for r in got])
-
-
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 2500, seed: int = 0) -> Network:
-    return train(*training_sample(docs, labels, toxic, clean), seed)
+    known = labels.where((crc_mod("doc_id", 3) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").alias("toxic"))
+    sized = docs.where("text is not null").select("doc_id", F.struct(F.xxhash64("text").alias("x"), F.octet_length("text").alias("n")).alias("t"))
+    met = sized.join(known, F.col("doc_id") == F.col("k")).groupBy("doc_id").agg(F.min("t").alias("t"), F.max("toxic").alias("toxic"))
+    chosen = []
+    for label, most in ((1, toxic), (0, clean)):
+        left = sample_bytes * most // max(1, toxic + clean)
+        for r in met.where((F.col("toxic") == 1) == F.lit(label == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
+            if r.t.n <= left:
+                left -= r.t.n
+                chosen.append((r.doc_id, r.t.x, label))
+    few = docs.sparkSession.createDataFrame(chosen, f"k {docs.schema['doc_id'].dataType.simpleString()}, x long, y int")  # at most toxic + clean rows of three numbers
+    got = docs.select("doc_id", "text").join(F.broadcast(few), (F.col("doc_id") == F.col("k")) & (F.xxhash64("text") == F.col("x"))).select("k", "y", "text").dropDuplicates(["k"])
+    rows = sorted(got.collect(), key=lambda r: r.k)
+    return [r.text for r in rows], np.array([r.y for r in rows], np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 2500, sample_bytes: int = 8 << 20, seed: int = 0) -> Network:
+    return train(*training_sample(docs, labels, toxic, clean, sample_bytes), seed)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score", batch_bytes: int = 2 << 20) -> DataFrame:
@@ -315,8 +335,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score",
             parts = [Batch(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).scores(shared.value) for i, j in by_bytes(offsets, batch_bytes)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, `{out}` double")
+    return docs.mapInArrow(scan, f"{ddl(docs)}, {quoted(out)} double")
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -329,4 +348,5 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
     net = fit(docs, labels, **options)
-    return score(docs, net, out="__score").where(F.col("__score") < threshold).select(*docs.columns)
+    (own,) = fresh(docs, "__score")
+    return score(docs, net, out=own).where(F.col(own) < threshold).drop(own)

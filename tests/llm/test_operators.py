@@ -52,30 +52,6 @@ def test_sharding_is_gapless_and_grows_into_the_new_shard(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_mixing_nears_targets_and_caps(docs, empty):
-    got = mixing.taken(docs, block_words=8).collect()
-    assert got and len(got) == len(TEXTS)
-    size = {i: len(tokens(t)) for i, t in enumerate(TEXTS)}
-    assert all(r["size"] == size[r.doc_id] and r.taken <= 3 * r["size"] for r in got)
-    total = sum(size.values())
-    per = {}
-    for r in got:
-        per.setdefault((r.source_size, r.target), 0)
-        per[(r.source_size, r.target)] += r.taken
-    assert sum(t for _, t in per) == pytest.approx(total)
-    for (s, t), k in per.items():
-        assert t <= 3 * s + 1e-9 and abs(k - t) <= 16 + 0.05 * t
-    assert sorted(got) == sorted(mixing.taken(docs, block_words=8).collect())
-    assert mixing.taken(empty).count() == 0
-    assert mixing.mix(docs, 512).columns == docs.columns
-
-
-def test_permutation_is_one(spark):
-    for n in (1, 2, 97):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), 3).alias("x")).collect()
-        assert sorted(r.x for r in got) == list(range(n))
-
-
 def test_decontamination_matches_brute_force(spark, docs, empty):
     items = [(1, PASSAGE), (2, "one two three"), (3, None), (4, ""), (5, " ".join(tokens(LONG)[5:25])), (6, "nowhere to be found at all in these texts we hope so")]
     bench = spark.createDataFrame(items, "item_id long, text string")
