@@ -1,12 +1,15 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Every leaf (region, rack, shard) draws an exponential clock -ln(u) / weight
-from a hash of the key and its own path.  An inner node's draw is the least of
-its children's, which is again exponential with the sum of their weights, so a
-descent by least draw picks each region, rack and shard in proportion to its
-weight.  A weight that changes scales that leaf's clock alone: rows move only
-between that subtree and the others, and a shard that is added takes rows only
-into itself.
+A key descends from the root: at each node every child draws an exponential
+clock -ln(u) / weight from a hash of the key and the child's path, and the least
+draw wins, so a child is chosen in proportion to its weight among its siblings.
+A draw depends on nothing but the key, the path and the child's own weight:
+
+- a child whose weight rises takes rows from its siblings, one whose weight
+  falls gives rows to them, and nothing moves between the others;
+- inside a subtree whose own weight is fixed nothing that changes reaches the
+  outside: what is moved stays below the node whose children changed;
+- a shard that is added takes rows only into itself, and only from its rack.
 
 The law is ``key``: the key and the tree decide, rows are spread in
 expectation.  A null key hashes as the text 'null'.  Equal keys share a shard.
@@ -19,83 +22,107 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, fresh, quoted
+
 
 @dataclass(frozen=True)
-class Leaf:
-    region: int
-    rack: int
-    shard: int
-    weight: float = 1.0
+class Node:
+    """A region, rack or shard; names are unique among siblings, and a leaf's name is its shard number."""
 
+    name: int
+    weight: float = 1.0
+    children: tuple[Node, ...] = ()
 
-def balanced_tree(shards: int, regions: int = 2, racks: int = 2) -> list[Leaf]:
-    """Shards 0 to n-1 of equal weight, dealt to regions and to racks in turn.
+    @property
+    def open(self) -> bool:
+        """Whether keys can come here: it has a weight, and a leaf below it has."""
+        return self.weight > 0 and (not self.children or any(c.open for c in self.children))
 
-    A larger tree holds all leaves of a smaller one unchanged.
-    """
-    return [Leaf(i % regions, i // regions % racks, i) for i in range(shards)]
 
+def balanced_tree(shards: int, regions: int = 2, racks: int = 2) -> Node:
+    """Shards 0 to n-1, dealt to regions and to racks in turn; all weights are equal.
 
-def _clock(key: Column, leaf: Leaf) -> Column:
-    seed = F.lit(f"{leaf.region}/{leaf.rack}/{leaf.shard}")
-    u = (F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), seed), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return -F.log(u) / leaf.weight
+    Shards get equal shares if every rack has as many.  A larger tree holds all
+    nodes of a smaller one with the same weights, so growth moves rows only into
+    the new shard.
+    """
+    at: dict[int, dict[int, list[Node]]] = {}
+    for i in range(shards):
+        at.setdefault(i % regions, {}).setdefault(i // regions % racks, []).append(Node(i))
+    return Node(0, 1.0, tuple(Node(r, 1.0, tuple(Node(k, 1.0, tuple(x)) for k, x in rack.items())) for r, rack in at.items()))
 
 
-def _least(draws: list[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _clock(key: Column, path: str, weight: float) -> Column:
+    u = (F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), F.lit(path)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(u) / weight
 
 
-def descend(key: Column, tree: list[Leaf]) -> Column:
-    """The shard that the key descends to; leaves of weight 0 take nothing."""
-    tree = [x for x in tree if x.weight > 0]
-    if not tree:
+def descend(key: Column, tree: Node, path: str = "") -> Column:
+    """The shard that the key descends to; nodes of weight 0 take nothing."""
+    if not tree.open:
         raise ValueError("no leaf has a weight")
-    # one struct per level: (draw, id, level below); the least struct is the least draw
-    regions = []
-    for region in sorted({x.region for x in tree}):
-        racks = []
-        for rack in sorted({x.rack for x in tree if x.region == region}):
-            leaves = [F.struct(_clock(key, x).alias("draw"), F.lit(x.shard).alias("shard")) for x in tree if (x.region, x.rack) == (region, rack)]
-            racks.append(_least(leaves))
-        regions.append(_least(racks))
-    return _least(regions)["shard"]
+    if not tree.children:
+        return F.lit(tree.name)
+    draws = []
+    for child in tree.children:
+        if child.open:
+            at = f"{path}/{child.name}"
+            draws.append(F.struct(_clock(key, at, child.weight).alias("draw"), descend(key, child, at).alias("shard")))
+    return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def shard(df: DataFrame, key: str, tree: list[Leaf], out: str = "shard") -> DataFrame:
-    return df.withColumn(out, descend(F.col(key), tree).cast("int"))
+def shard(df: DataFrame, key: str, tree: Node, out: str = "shard") -> DataFrame:
+    return df.withColumn(out, descend(F.col(quoted(key)), tree).cast("int"))
 
 
-def with_slots(df: DataFrame, group: str, order: list[str], rows_per_task: int = 50_000) -> DataFrame:
-    """Adds ``slot``: gapless numbers from 0 within each group.
+def with_slots(df: DataFrame, group: str, order: list[str], out: str = "slot", rows_per_task: int = 50_000) -> DataFrame:
+    """Adds ``slot``: gapless numbers from 0 within each group, by hashed parts and by the order within them.
 
-    A group may be a large share of all rows, so each is cut into hashed parts
-    that are numbered apart; the parts' counts, summed, give their offsets.
-    Rows that agree in every ordering column are interchangeable.
+    A group may be a large share of all rows, and so may be rows that are equal:
+    the parts hash the ordering columns and the row's place in its task, and are
+    numbered apart; their counts, summed, give the offsets.  The rows are
+    checkpointed with their parts, so that both reads see the same.
     """
-    n = df.count()
-    parts = max(1, n // rows_per_task)
-    cut = df.withColumn("__part", F.pmod(F.hash(*order), F.lit(parts)))
-    counts = cut.groupBy(group, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
-    numbered = cut.withColumn("__row", inside)
-    return numbered.join(offsets, [group, "__part"]).withColumn("slot", (F.col("__row") + F.col("__offset")).cast("long")).drop("__part", "__row", "__offset")
+    part, n, offset, row, g = fresh(df, "__part", "__n", "__offset", "__row", "__g")
+    parts = max(1, df.count() // rows_per_task)
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
+    cut = checkpoint(df.withColumn(part, F.pmod(F.hash(*[F.col(quoted(c)) for c in order]) + place, F.lit(parts))))
+    counts = cut.groupBy(F.col(quoted(group)).alias(g), part).agg(F.count("*").alias(n))
+    before = Window.partitionBy(g).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(g, F.col(part).alias(n), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    inside = F.row_number().over(Window.partitionBy(quoted(group), part).orderBy(*[F.col(quoted(c)) for c in order])) - 1
+    met = cut.withColumn(row, inside).join(offsets, (F.col(quoted(group)) == F.col(g)) & (F.col(part) == F.col(n)))
+    return met.select(*[F.col(quoted(c)) for c in df.columns], (F.col(row) + F.col(offset)).cast("long").alias(out))
+
+
+def size() -> Column:
+    """UTF-8 bytes of the text plus 1; a null text counts as empty."""
+    return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+
+
+def text_crc32() -> Column:
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row.
 
-    Size is the UTF-8 bytes of the text plus 1; a null text counts as empty.
-    Other columns are not carried.
+    Repeated rows have a slot each; an empty table gives no rows.  Other columns
+    are not carried.
     """
     rows = docs.select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        size().alias("size"),
+        text_crc32().alias("text_crc32"),
         F.lit("key").alias("law"),
         descend(F.col("doc_id"), balanced_tree(shards)).cast("int").alias("shard"),
         descend(F.col("doc_id"), balanced_tree(shards + 1)).cast("int").alias("grown_shard"),
     )
     return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard_whole(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The documents, all columns, with size, text_crc32, shard and slot; a name that is taken gets an underscore more."""
+    names = fresh(docs, "size", "text_crc32", "shard", "slot")
+    rows = docs.select(*[F.col(quoted(c)) for c in docs.columns], size().alias(names[0]), text_crc32().alias(names[1]), descend(F.col("doc_id"), balanced_tree(shards)).cast("int").alias(names[2]))
+    return with_slots(rows, names[2], ["doc_id", names[1], names[0]], names[3])

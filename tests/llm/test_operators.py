@@ -1,18 +1,15 @@
 """Small fixtures against brute force, with nulls, blanks, ties, repeats, empty tables and extra columns."""
 
 import hashlib
-import math
 import random
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, embeddings, mixing, revisits, sharding, simhash, substring, templates, toxicity
+from tessera.llm import decontamination, embeddings, revisits, simhash, substring, templates, toxicity
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)]
@@ -40,18 +37,6 @@ def empty(docs):
     return docs.limit(0)
 
 
-def test_sharding_is_gapless_and_grows_into_the_new_shard(docs, empty):
-    rows = sharding.shard_documents(docs.union(docs)).collect()
-    assert len(rows) == 2 * len(TEXTS)
-    by = {}
-    for r in rows:
-        by.setdefault(r.shard, []).append(r.slot)
-        assert r.grown_shard in (r.shard, 16) and r.size == len((TEXTS[r.doc_id] or "").encode()) + 1
-        assert r.text_crc32 == zlib.crc32((TEXTS[r.doc_id] or "").encode())
-    assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert sharding.shard_documents(empty).count() == 0
-
-
 def test_decontamination_matches_brute_force(spark, docs, empty):
     items = [(1, PASSAGE), (2, "one two three"), (3, None), (4, ""), (5, " ".join(tokens(LONG)[5:25])), (6, "nowhere to be found at all in these texts we hope so")]
     bench = spark.createDataFrame(items, "item_id long, text string")
