@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
+from ..session import checkpointed
 from .base import Cols, Entries, Operator, StatOperator, flat, present
-from .cat import checkpointed
 from .rel import lookup
 
 _NARROW = {"count": "int", "nunique": "int", "mean": "float", "median": "float", "std": "float", "var": "float", "sum": "float"}

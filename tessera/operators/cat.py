@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
+from ..session import checkpointed
 from .base import Cols, Entries, StatOperator, flat, present
 from .rel import lookup
 from .row import embedding_size, hashed
@@ -22,16 +23,6 @@ WINDOW_ROWS = 1_000_000
 MAP_ROWS = 20_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialised in the shared checkpoint folder, so that it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
-
-
 def positions(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     """Adds ``position`` from 0 in the given order, which must be total."""
     if rows <= WINDOW_ROWS:

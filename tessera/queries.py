@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from . import Dataset, Node, Subgraph, Workflow, get_embedding_sizes, ops
 from .operators.stat import moments
 from .schema import Schema, Tags
+from .session import shared_dir
 from .tools import CatCol, ContCol, DatasetGen, DatasetInspector, PowerLawDistro
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,7 +506,7 @@ def workflow_criteo(s, d):
 
 @query(_CRITEO)
 def workflow_save_load(s, d):
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/workflow_save_load"
+    path = f"{shared_dir(s)}/workflow_save_load"
     df = _t(s, d, "lineitem")
     Workflow(criteo_node()).fit(df).save(path)
     return _rounded(Workflow.load(path).transform(df))
@@ -544,14 +544,14 @@ def inspect(s, d):
 
 @query("select o_orderkey, o_custkey from orders")
 def parquet_round_trip(s, d):
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/parquet_round_trip"
+    path = f"{shared_dir(s)}/parquet_round_trip"
     Dataset(_t(s, d, "orders").select("o_orderkey", "o_custkey")).to_parquet(path, shuffle=True, output_files=4)
     return Dataset(path).df
 
 
 @query("select o_orderkey, o_custkey, o_orderpriority from orders")
 def csv_round_trip(s, d):
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/csv_round_trip"
+    path = f"{shared_dir(s)}/csv_round_trip"
     Dataset(_t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).to_csv(path)
     return Dataset(path, engine="csv", schema=None).df.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderpriority")
 

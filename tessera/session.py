@@ -1,4 +1,4 @@
-"""Sessions, and shipping this package to executors."""
+"""Sessions: the folder that executors share, and shipping this package to them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,35 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables, ``spark.checkpoint.dir``.
+
+    Only a local session may do without: it gets a temporary one.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tessera-")
+    return _local[app]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, so that it is computed once and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def ship(spark: SparkSession) -> None:
