@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed as checkpoint
+
 #: Lower-casing of A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -23,18 +24,6 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by an eager reliable checkpoint in the shared folder.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(key: Column | str, n: int) -> Column:
     """crc32 of the key as text, modulo n; 0 for a null key."""
     key = F.col(key) if isinstance(key, str) else key

@@ -26,11 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, SPACE, as_buffer, by_bytes, checkpoint, mixed, span_hashes, window_hashes, word_hashes, words
+from .common import LOWER, SPACE, as_buffer, by_bytes, checkpoint, fresh, mixed, quoted, span_hashes, window_hashes, word_hashes, words
 from .graph import components, local_forest
 
 
@@ -74,8 +74,7 @@ def flips(bits: int, most: int, shift: int = 0) -> list[tuple[int, int]]:
 def links(fps: DataFrame, radius: int = 4, bucket_values: int = 1 << 20) -> DataFrame:
     """(a, b): a spanning forest, within buckets, of all fingerprints at most ``radius`` bits apart.
 
-    fps has one column fp of distinct values.  An odd radius takes the ball of
-    the next even one and keeps the pairs that verify, per value.
+    fps has one column fp of distinct values.  The radius must be even.
     """
     if radius % 2:
         raise ValueError("the radius must be even: it is met in the middle")
@@ -189,14 +188,15 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20, block: int = 1024) -> DataFrame:
-    """(cloud, node): groups of nodes in which every candidate pair is together at least once.
+    """(cloud, node, root): groups of nodes in which every candidate pair is together at least once.
 
     classes has node, sketch and prefix.  Table t is bits [t * bits, (t + 1) *
     bits) of the sketch; nodes within 2 bits share a value of their balls of
     radius 1.  Small sets also meet at the shingles of their prefix.  Sharing a
     value proves no link, so nobody stands for others: all who are joined by
-    shared values in a bucket are a cloud, a row for each member.  A cloud above
-    ``block`` members is dealt to all pairs of its blocks.
+    shared values in a bucket are a cloud, a row for each member, with its root.
+    A cloud above ``block`` members has no number: it is not worth holding all
+    its sketches against each other, its members go on together.
     """
     lead = max(1, min(24, math.ceil(math.log2(max(1, n) * (bits + 1) / bucket_values))))
     low = bits - lead
@@ -242,10 +242,9 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
             packed = np.sort(np.concatenate([near.ravel(), (body[used] << np.uint64(width)) | owner[used]]))
             c, d = _chained(packed >> np.uint64(width), node[(packed & np.uint64((1 << width) - 1)).astype(np.int64)])
             a, b = np.append(a, c), np.append(b, d)
-        cloud, member = _dealt(*local_forest(a, b), block)
-        return pa.table({"cloud": cloud, "node": member})
+        return _clouds(*local_forest(a, b), block)
 
-    return classes.select("node", "sketch", "prefix").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "cloud long, node long").distinct()
+    return classes.select("node", "sketch", "prefix").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "cloud long, node long, root long").distinct()
 
 
 def _chained(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,24 +253,16 @@ def _chained(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node[rest - 1], node[rest]
 
 
-def _dealt(node: np.ndarray, root: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cloud, member) of a forest's groups; a cloud is named after its members, so that equal ones are one."""
+def _clouds(node: np.ndarray, root: np.ndarray, block: int) -> pa.Table:
+    """cloud, node and root of a forest's groups; a cloud is numbered after its members, so that equal ones are one."""
     roots = np.unique(root)
     member, of = np.concatenate([roots, node]), np.concatenate([roots, root])
     order = np.lexsort((member, of))
     member, of = member[order], of[order]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(of)))
-    name = mixed(np.add.reduceat(mixed(member.view(np.uint64)), first)) if len(of) else np.zeros(0, np.uint64)
-    one = np.repeat(size <= block, size)
-    clouds, members = [np.repeat(name, size)[one]], [member[one]]
-    for g in np.flatnonzero(size > block):
-        parts = np.array_split(member[first[g] : first[g] + size[g]], -(-size[g] // block))
-        for i, j in combinations(range(len(parts)), 2):
-            both = np.append(parts[i], parts[j])
-            members.append(both)
-            clouds.append(mixed(np.full(len(both), name[g] ^ np.uint64((i << 32) + j + 1))))
-    return np.concatenate(clouds).view(np.int64), np.concatenate(members)
+    name = mixed(np.add.reduceat(mixed(member.view(np.uint64)), first)).view(np.int64) if len(of) else np.zeros(0, np.int64)
+    return pa.table({"cloud": pa.array(np.repeat(name, size), mask=np.repeat(size > block, size)), "node": member, "root": of})
 
 
 def _grown(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -319,6 +310,17 @@ def alike(sketches: np.ndarray, size: np.ndarray, similarity: float, most: float
     return _grown(len(size), near)
 
 
+def near_one(one: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have at least the similarity with one; all are sorted."""
+    size = np.array([len(x) for x in sets], np.int64)
+    if not len(size):
+        return np.zeros(0, bool)
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    both = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(size) - size)
+    return both >= similarity * (size + len(one) - both)
+
+
 def verified(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest, of places, of all pairs of sets whose Jaccard similarity is at least ``similarity``."""
     size = np.array([len(x) for x in sets])
@@ -357,13 +359,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     form clusters, in which every pair of groups is decided on the shingle sets
     themselves; the estimate alone links none.
 
-    A cluster is cut into blocks of about ``block`` sets and every pair of
-    blocks is one unit of work, so its rows are its sets times its blocks.
-    Equal sets are one node.  Null, empty and blank texts are equal sets;
-    repeated rows link.  ``recall`` is that of a pair right at the threshold.
+    A cluster above ``block`` sets is first held against a few pivots, a row for
+    each set; those that link with the best of them need no look at each other.
+    The others are held against all: blocks of them meet blocks of the cluster,
+    so rows are the cluster's sets times the blocks of others.  Equal sets are
+    one node.  Null, empty and blank texts are equal sets; repeated rows link.
+    Rows with a null doc_id are rows like others, and the smallest id is null
+    where they are in a group.  ``recall`` is that of a pair right at the threshold.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("x")).alias("doc_id"), F.col(text).alias("text"))
+    found = _near_copies(texts, f"struct<id:{kind},x:bigint>", k, similarity, recall, block)
+    return found.select(F.col("doc_id.id").alias("doc_id"), F.col("component_id.id").alias("component_id"))
+
+
+def _near_copies(texts: DataFrame, kind: str, k: int, similarity: float, recall: float, block: int) -> DataFrame:
+    """near_copies() for a doc_id (never null) and a text."""
     n = texts.count()
     bits, tables = table_plan(n, similarity, recall)
     longs = -(-bits * tables // 64)
@@ -394,46 +405,94 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         forest = local_forest(*[np.concatenate(x) for x in zip(*found, strict=True)])
         return pa.table({"a": forest[0], "b": forest[1]})
 
-    near = candidates(classes, n, bits, tables).join(classes.select("node", "sketch", "size"), "node")
+    met = checkpoint(candidates(classes, n, bits, tables))
+    near = met.where("cloud is not null").join(classes.select("node", "sketch", "size"), "node")
     near = near.withColumn("task", F.pmod("cloud", F.lit(max(16, n // 2000)))).groupBy("task").applyInArrow(compare, "a long, b long")
-    forest = components(near)
+    forest = components(near.union(met.where("cloud is null").select("node", "root")))
     cluster = checkpoint(classes.select("node", "least", "size").join(forest.select(F.col("node").alias("n"), "root").union(forest.select("root", "root").distinct()), F.col("node") == F.col("n")).drop("n"))
-    blocks = cluster.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (1024 * block))).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = cluster.join(blocks, "root").withColumn("own", own)
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(other)).select("node", "size", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    dealt = checkpoint(dealt)
-    units = max(16, (dealt.agg(F.sum("size")).first()[0] or 0) >> 19)
+    joined = components(_linked(texts, cluster, k, similarity, block)).select(F.col("node").alias("n"), "root")
+    found = classes.select("node", "least").join(joined, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = found.select(F.col("node").alias("n"), "root").join(named, "root")
+    return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
+PIVOTS = 4
+
+
+def _linked(texts: DataFrame, cluster: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): a forest of the links within clusters, decided on the shingle sets.
+
+    cluster has node, least (a doc_id that has the set), size and root.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h in _each_set(batch, k):
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(h)]), pa.array([h.tobytes()], pa.binary())], names=["n", "s"])
 
+    def blocks(count: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(size) / (1024 * block))).cast("int")
+
+    wanted = cluster.select(F.col("least").alias("doc_id"))
+    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s binary").join(cluster.select("node"), F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"])
+    pick = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(PIVOTS)]
+    per = cluster.groupBy("root").agg(F.count("*").alias("all"), F.sum("size").alias("whole"), F.array_distinct(F.array(*pick)).alias("pivots"))
+    per = checkpoint(per.select(F.col("root").alias("r"), blocks("all", "whole").alias("blocks"), "pivots"))
+    links = None
+    known = cluster.sparkSession.createDataFrame([], "linked long")
+    if per.where("blocks > 1").head(1):
+        full = checkpoint(full)
+        big = per.where("blocks > 1").withColumn("parts", F.ceil(F.col("blocks") / 8).cast("int"))
+        own = cluster.join(big, F.col("root") == F.col("r")).select("root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("pivot"))
+        each = big.select(F.col("r").alias("root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots").select("root", "part", F.explode("pivots").alias("node"), F.lit(True).alias("pivot"))
+        stars = own.union(each).join(full, F.col("node") == F.col("n")).drop("n").withColumn("unit", F.xxhash64("root", "part"))
+
+        def star(table: pa.Table) -> pa.Table:
+            node, pivot, blobs = table.column("node").to_numpy(), table.column("pivot").to_numpy(), table.column("s")
+            a, b = [node[:0]], [node[:0]]
+            for i in np.flatnonzero(pivot).tolist():
+                rest = np.flatnonzero(~pivot & (node != node[i]))
+                near = near_one(np.frombuffer(blobs[i].as_py(), np.uint64), [np.frombuffer(blobs[j].as_py(), np.uint64) for j in rest.tolist()], similarity)
+                b.append(node[rest[near]])
+                a.append(np.full(len(b[-1]), node[i]))
+            return pa.table({"root": np.full(sum(map(len, a)), table.column("root")[0].as_py()), "a": np.concatenate(a), "b": np.concatenate(b)})
+
+        links = checkpoint(stars.groupBy("unit").applyInArrow(star, "root long, a long, b long"))
+        best = links.groupBy("root", "a").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("a", F.struct("c", "a")).alias("p"))
+        known = best.select(F.col("p").alias("linked")).union(links.join(best.select("p"), F.col("a") == F.col("p")).select("b"))
+    rest = cluster.join(known, F.col("node") == F.col("linked"), "left")
+    per_rest = rest.where("linked is null").groupBy("root").agg(F.count("*").alias("some"), F.sum("size").alias("part"))
+    dealt = rest.join(per_rest.select(F.col("root").alias("q"), blocks("some", "part").alias("others")), F.col("root") == F.col("q")).join(per.select("r", "blocks"), F.col("root") == F.col("r"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    as_any = F.transform(upto("others"), lambda i: F.struct(i.alias("i"), place("blocks").alias("j")))
+    as_other = F.when(F.col("linked").isNull(), F.transform(upto("blocks"), lambda j: F.struct(place("others").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    dealt = dealt.withColumn("u", F.explode(F.array_union(as_any, as_other))).select("node", "size", F.xxhash64("root", "u.i", "u.j").alias("unit"))
+    dealt = checkpoint(dealt)
+    units = max(16, (dealt.agg(F.sum("size")).first()[0] or 0) >> 19)
+
     def verify(table: pa.Table) -> pa.Table:
         node, blobs = table.column("node").to_numpy(), table.column("s")
         found = [(node[at[x]], node[at[y]]) for at in _runs(table.column("unit").to_numpy()) for x, y in [verified([np.frombuffer(blobs[i].as_py(), np.uint64) for i in at.tolist()], similarity)]]
         forest = local_forest(*[np.concatenate(x) for x in zip(*found, strict=True)])
         return pa.table({"a": forest[0], "b": forest[1]})
 
-    wanted = cluster.select(F.col("least").alias("doc_id"))
-    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s binary").join(cluster.select("node"), F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"])
-    linked = dealt.join(full, F.col("node") == F.col("n")).select("unit", "node", "s", F.pmod("unit", F.lit(units)).alias("task")).groupBy("task").applyInArrow(verify, "a long, b long")
-    joined = components(linked).select(F.col("node").alias("n"), "root")
-    found = classes.select("node", "least").join(joined, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = found.select(F.col("node").alias("n"), "root").join(named, "root")
-    return rows.join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    out = dealt.join(full, F.col("node") == F.col("n")).select("unit", "node", "s", F.pmod("unit", F.lit(units)).alias("task")).groupBy("task").applyInArrow(verify, "a long, b long")
+    return out if links is None else out.union(links.select("a", "b"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:
     """One document, all columns, of each group of near copies: the one with the smallest doc_id.
 
-    Repeated rows with that doc_id are cut to one; rows without a doc_id, which
-    cannot be told apart, stay as they are.
+    A null doc_id is smallest.  Texts are told apart by doc_id and a hash, so
+    several texts under one doc_id are documents of their own; rows that agree
+    in both are cut to one.
     """
-    found = near_copies(docs.where(F.col(doc_id).isNotNull()), doc_id, text, k, similarity)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    stay = docs.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi").dropDuplicates([doc_id])
-    return stay.unionByName(docs.where(F.col(doc_id).isNull()))
+    (own,) = fresh(docs, "__x")
+    key = F.struct(F.col(quoted(doc_id)).alias("id"), F.xxhash64(F.col(quoted(text))).alias("x"))
+    found = _near_copies(docs.select(key.alias("doc_id"), F.col(quoted(text)).alias("text")), f"struct<id:{docs.schema[doc_id].dataType.simpleString()},x:bigint>", k, similarity, recall, block)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id.id").alias("__keep_id"), F.col("doc_id.x").alias("__keep_x")).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col(quoted(text))))
+    stay = marked.join(keep, (F.col(own) == F.col("__keep_x")) & F.col(quoted(doc_id)).eqNullSafe(F.col("__keep_id")), "left_semi")
+    return stay.dropDuplicates([doc_id, own]).drop(own)

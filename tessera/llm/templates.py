@@ -12,8 +12,12 @@ Recurring means at least ``min_lines`` lines of at least two documents; both are
 sums and extremes, which pre-aggregate, so a line in a third of all documents
 is a row per task.  The counts are joined back on the key's complement: that gives
 them a shuffle of their own, without which adaptive execution can't split the
-lines of one hot template or place over tasks.  Rows are told apart by doc_id and text; equal rows are
-judged alike.  Blank lines are no lines.  Null texts have none.
+lines of one hot template or place over tasks.
+
+Rows are told apart by a hash of doc_id and text.  Equal rows are one document:
+they count once and are judged alike.  A null doc_id is an id like others.
+Blank lines are no lines.  Null texts have none.  An empty table gives no rows.
+Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh, quoted
 
 LEADING = 3
 
@@ -34,9 +38,16 @@ def _trimmed(c: Column | str) -> Column:
     return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\r\f\x0b"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """row, line (number from 0), n, leaf and hashes of the tokens of every line that is not blank."""
-    each = docs.select(_row().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+def _once(docs: DataFrame) -> DataFrame:
+    """row and text of the distinct rows; texts are shuffled only if there are equal ones."""
+    rows = docs.select(_row().alias("row"), "text")
+    again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.dropDuplicates(["row"]) if again.head(1) else rows
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """row, line (number from 0), n, leaf and the tokens of every line that is not blank."""
+    each = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     split = each.where(_trimmed("raw") != "").select("row", "line", F.split(_trimmed("raw"), "[ \\t\\r\\f\\x0B]+").alias("t"))
     token = lambda i: F.get("t", F.lit(i))
     lead = [F.coalesce(F.when(F.translate(token(i), "0123456789", "") != token(i), F.lit("<*>")).otherwise(token(i)), F.lit("")) for i in range(LEADING)]
@@ -53,7 +64,7 @@ def _counted(df: DataFrame, *keys: str) -> DataFrame:
 
 def recurring(docs: DataFrame, min_lines: int = 3, share: float = 0.5) -> DataFrame:
     """row and line of every line whose template recurs."""
-    every = lines(docs)
+    every = lines(_once(docs))
     leaves = checkpoint(_counted(every.select("row", "leaf"), "leaf").where(_recurs(min_lines)).select(F.col("leaf").alias("l")))
     hashes = F.transform("t", lambda x: F.hash(x))
     held = every.select("row", "line", "n", "leaf", hashes.alias("h")).join(leaves, F.col("leaf") == F.col("l")).drop("l")
@@ -79,7 +90,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, without the lines whose template recurs."""
-    gone = recurring(docs, **options).groupBy(F.col("row").alias("__r")).agg(F.collect_set("line").alias("__gone"))
-    met = docs.withColumn("__row", _row()).join(gone, F.col("__row") == F.col("__r"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return met.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    row, r, lost = fresh(docs, "__row", "__r", "__gone")
+    gone = recurring(docs, **options).groupBy(F.col("row").alias(r)).agg(F.collect_set("line").alias(lost))
+    met = docs.withColumn(row, _row()).join(gone, F.col(row) == F.col(r), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept).alias("text")
+    return met.select(*[text if c == "text" else F.col(quoted(c)) for c in docs.columns])

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, embeddings, revisits, simhash, substring, templates, toxicity
+from tessera.llm import decontamination, embeddings, revisits, simhash, substring, toxicity
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)]
@@ -156,17 +156,6 @@ def test_revisits_across_time_spans(spark):
     assert key(one) == key(many)
 
 
-def test_templates_drop_recurring_lines_only(spark):
-    rows = [(i, f"Unique thoughts of writer {chr(97 + i)} about {chr(97 + i)}{i}\nuser {i} logged in from host 10.0.0.{i}\n\n{'x' * i} alone {i * 'y'}") for i in range(6)]
-    rows += [(10, None), (11, ""), (12, "\t\n ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in templates.report(df).collect()}
-    assert all(1 in got[i].dropped for i in range(6)) and all(2 not in got[i].dropped for i in range(6))
-    assert got[10].n_lines == got[11].n_lines == got[12].n_lines == 0
-    assert all("logged" not in (r.text or "") for r in templates.drop_lines(df).collect())
-    assert templates.report(df.limit(0)).count() == 0
-
-
 def test_toxicity_gradients_and_learning():
     r = np.random.default_rng(0)
     net = toxicity.Network(np.sort(r.integers(0, 1 << 60, 5).astype(np.uint64)))
@@ -268,6 +257,15 @@ def test_near_copies_in_a_crowd_match_brute_force(spark):
     assert got == want
 
 
+def test_dedup_of_ids_that_are_null_or_shared(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a, 1), (None, b, 1), (None, b, 1), (5, a + " more", 1), (7, c, 1), (7, c + " more", 2), (7, "quite another text", 3), (8, None, 1), (9, "", 1)]
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, `__x` int"))
+    assert kept.columns == ["doc_id", "text", "__x"]
+    got = sorted(((r.doc_id or 0), r.text or "") for r in kept.collect())
+    assert got[:2] == [(0, a), (0, b)] and (7, "quite another text") in got and (8, "") in got and len(got) == 5
+
+
 def test_near_copies_of_few_words(spark):
     texts = []
     for g in range(100):  # 4 shingles in 5: a similarity of 0.8
