@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, embeddings, revisits, simhash, substring, toxicity
+from tessera.llm import embeddings, revisits, simhash, substring, toxicity
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)]
@@ -37,30 +37,6 @@ def empty(docs):
     return docs.limit(0)
 
 
-def test_decontamination_matches_brute_force(spark, docs, empty):
-    items = [(1, PASSAGE), (2, "one two three"), (3, None), (4, ""), (5, " ".join(tokens(LONG)[5:25])), (6, "nowhere to be found at all in these texts we hope so")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    wins = {}
-    for i, t in items:
-        w = word.findall(low(t))
-        for k in range(max(1, len(w) - 9) if w else 0):
-            wins.setdefault(tuple(w[k : k + 10]), set()).add(i)
-    for blocks in (1 << 24, 60):  # one block of items, and several
-        got = {r.doc_id: r for r in decontamination.report(docs, bench, block_bytes=blocks).collect()}
-        for i, t in enumerate(TEXTS):
-            w, hit, found = word.findall(low(t)), set(), set()
-            for n in {len(x) for x in wins}:
-                for k in range(len(w) - n + 1):
-                    if tuple(w[k : k + n]) in wins:
-                        hit |= set(range(k, k + n))
-                        found |= wins[tuple(w[k : k + n])]
-            sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-            assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(found), sha, bool(hit))
-    assert decontamination.report(empty, bench).count() == 0
-    assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(TEXTS)
-
-
 def test_simhash_matches_brute_force(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     fps = {}
@@ -274,12 +250,3 @@ def test_near_copies_of_few_words(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
     assert got == {i: i - i % 2 for i in range(200)}
-
-
-def test_benchmark_items_without_an_id_are_searched_for(spark):
-    frame = spark.createDataFrame([(1, PASSAGE), (2, "one two three four"), (3, f"start {PASSAGE} tail"), (4, "nothing here")], "doc_id long, text string")
-    bench = spark.createDataFrame([(None, PASSAGE), (None, "one two three"), ("a", " ".join(PASSAGE.split()[:12]))], "item_id string, text string")
-    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_item, r.longest_words, r.longest_at) for r in decontamination.report(frame, bench).collect()}
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert got == {1: (30, 1, sha("a"), True, None, 30, 0), 2: (3, 0, sha(""), True, None, 3, 0), 3: (30, 1, sha("a"), True, None, 30, 1), 4: (0, 0, sha(""), False, None, None, None)}
-    assert [r.doc_id for r in decontamination.decontaminate(frame, bench).collect()] == [4]
