@@ -3,9 +3,13 @@
 On unit vectors, cosine >= c is a distance of at most epsilon = sqrt(2 - 2c).
 Vectors are projected on leading principal directions and sorted by their grid
 cells of width epsilon, which cuts each label into blocks that are intervals of
-the sequence.  Pairs of blocks whose boxes are further apart than epsilon are
-skipped, found by a join on the first grid coordinate; the others are joined
-recursively: intervals are halved, distant halves skipped, and leaves compared
+the sequence.  Intervals of ``FAN`` blocks, of ``FAN`` such intervals and so on
+have boxes, too.  The join starts with each label's whole sequence against
+itself and descends: of each pair of intervals whose boxes are no further apart
+than epsilon the pairs of parts are looked at, all others are skipped unseen.
+Only boxes move until single blocks are left; then each pair of intervals of
+blocks gets those vectors that are still wanted, and the recursion goes on
+inside: intervals are halved, distant halves skipped, and leaves compared
 exactly in double precision.
 
 Equal vectors of a label are one class and are compared once.  A join returns
@@ -13,8 +17,9 @@ for each class its number of links and a local spanning forest, never pairs.
 The basis is fitted to a bounded sample; it only affects what can be skipped.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with
-a null label, link with nothing and are kept.  Vectors of different lengths do
-not link.  Repeated rows link.
+a null label or vec_id, link with nothing and are kept; the component of a row
+without a vec_id is null.  Vectors of different lengths do not link.  Repeated
+rows link.  An empty table gives no rows.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -32,6 +38,7 @@ from .graph import components, local_forest
 
 SAMPLE = 4096
 LEADING = 8
+FAN = 8
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -40,11 +47,15 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(fit, F.lit(False))).groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of one length, none of them null, in the precision they have."""
+    whole = column.combine_chunks()
+    flat = whole.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(whole), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -69,6 +80,10 @@ def _projected(u: np.ndarray, basis: dict[int, np.ndarray]) -> np.ndarray:
     return np.pad(p, ((0, 0), (0, LEADING - p.shape[1])))
 
 
+def precision(found: DataFrame) -> str:
+    return "<f4" if found.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def blocks(found: DataFrame, epsilon: float, block_rows: int) -> DataFrame:
     """Intervals of the sequence in epsilon grid order: block, label, dim, box, and members."""
     basis = principal(found)
@@ -76,14 +91,15 @@ def blocks(found: DataFrame, epsilon: float, block_rows: int) -> DataFrame:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            sizes = np.array([len(x) for x in table.column("embedding").to_pylist()])
+            sizes = pc.list_value_length(table.column("embedding")).to_numpy()
             for d in np.unique(sizes).tolist():
                 part = table.filter(pa.array(sizes == d))
                 x = _matrix(part.column("embedding"))
                 grid = np.floor(_projected(unit(x), basis) / epsilon).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("label").combine_chunks(), pa.array(np.full(len(x), d, np.int32)), pa.array(grid.tolist(), pa.list_(pa.int64())), part.column("class_id").combine_chunks(), part.column("n").combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "dim", "cell", "class_id", "n", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column("label").combine_chunks(), pa.array(np.full(len(x), d, np.int32)), pa.array(grid.tolist(), pa.list_(pa.int64())), part.column("class_id").combine_chunks(), part.column("n").combine_chunks(), pa.array([r.astype(kind).tobytes() for r in x], pa.binary())], names=["label", "dim", "cell", "class_id", "n", "vector"])
 
     label = found.schema["label"].dataType.simpleString()
+    kind = precision(found)
     seq = found.select("label", "embedding", "class_id", "n").mapInArrow(cells, f"label {label}, dim int, cell array<long>, class_id long, n long, vector binary")
     parts = max(1, found.count() // (8 * block_rows))
     key = ["label", "dim", "cell", "class_id"]  # class_id splits a cell that many share
@@ -96,7 +112,7 @@ def blocks(found: DataFrame, epsilon: float, block_rows: int) -> DataFrame:
         def block(rows: pa.Table) -> pa.RecordBatch:
             nonlocal k
             k += 1
-            x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+            x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(rows.num_rows, -1)
             p = _projected(unit(x), basis)
             one = lambda c: rows.column(c)[0].as_py()
             return pa.RecordBatch.from_pydict({"block": [part + k], "label": rows.column("label").slice(0, 1).combine_chunks(), "dim": pa.array([one("dim")], pa.int32()), "low": [p.min(0).tolist()], "high": [p.max(0).tolist()], "ids": [rows.column("class_id").to_numpy().astype("<i8").tobytes()], "n": [rows.column("n").to_numpy().astype("<i8").tobytes()], "vectors": [x.tobytes()]})
@@ -131,9 +147,12 @@ def _run(table: pa.Table) -> int:
 
 
 class _Side:
-    def __init__(self, ids: bytes, n: bytes, vectors: bytes) -> None:
-        self.ids, self.n = np.frombuffer(ids, "<i8"), np.frombuffer(n, "<i8")
-        self.u = unit(np.frombuffer(vectors, np.float64).reshape(len(self.ids), -1))
+    """Blocks of one interval, in the order of the sequence."""
+
+    def __init__(self, rows: list[dict], kind: str) -> None:
+        rows = sorted(rows, key=lambda r: r["block"])
+        self.ids, self.n = (np.frombuffer(b"".join(r[c] for r in rows), "<i8") for c in ("ids", "n"))
+        self.u = unit(np.frombuffer(b"".join(r["vectors"] for r in rows), kind).reshape(len(self.ids), -1))
 
 
 def _join(a: _Side, b: _Side, ra: slice, rb: slice, same: bool, epsilon: float, cosine: float, out: list, leaf: int = 128) -> None:
@@ -155,48 +174,74 @@ def _join(a: _Side, b: _Side, ra: slice, rb: slice, same: bool, epsilon: float,
                 _join(a, b, p, q, same, epsilon, cosine, out, leaf)
 
 
-def linked(found: DataFrame, cosine: float, block_rows: int = 512, partners: int = 8) -> DataFrame:
+def close(epsilon: float) -> Column:
+    """Whether the boxes (low, high) and (low2, high2) are at most epsilon apart."""
+    gaps = F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= (epsilon * 1.000001) ** 2
+
+
+def near_blocks(table: DataFrame, epsilon: float) -> DataFrame:
+    """(a, b, up, up2) of all pairs of blocks whose boxes are near, and the intervals of blocks that they lie in.
+
+    An interval of level k is a part of the sequence over FAN ** (k - 1) ranges
+    of the sort; level 0 are the blocks.
+    """
+    meta = table.select("block", F.xxhash64("label", "dim").alias("kind"), F.shiftright("block", 32).alias("range"), "low", "high")
+    top = meta.agg(F.max("range")).first()[0] or 0
+    height = 1
+    while top >> (3 * (height - 1)):  # FAN is 2 ** 3
+        height += 1
+
+    def interval(level: int) -> Column:
+        return F.xxhash64("kind", F.shiftright("range", 3 * (level - 1)), F.lit(level))
+
+    def level(k: int) -> DataFrame:
+        node = F.col("block") if k == 0 else interval(k)
+        up = interval(k + 1) if k < height else F.lit(0).cast("long")
+        each = meta.select(node.alias("node"), up.alias("up"), "low", "high", F.col("range" if k else "block").alias("first"))
+        if k == 0:
+            return each
+        ends = [F.array(*[f(F.col(c)[i]) for i in range(LEADING)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+        return each.groupBy("node", "up").agg(F.min("first").alias("first"), *ends)
+
+    pairs = level(height).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for k in range(height - 1, -1, -1):
+        part = level(k).select("node", "up", "first", "low", "high")
+        left = pairs.join(part, F.col("a") == F.col("up")).select("b", F.col("node").alias("x"), F.col("up").alias("up1"), "first", "low", "high")
+        right = part.select(F.col("node").alias("y"), F.col("up").alias("up2"), F.col("first").alias("first2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        pairs = left.join(right, (F.col("b") == F.col("up2")) & ((F.col("up1") != F.col("up2")) | (F.col("first") <= F.col("first2"))) & close(epsilon))
+        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("up1").alias("up"), "up2")
+        pairs = checkpoint(pairs.select("a", "b")) if k else pairs
+    return pairs
+
+
+def linked(found: DataFrame, cosine: float, block_rows: int = 512) -> DataFrame:
     """(id, links, other): a class's links of one join, and an edge of a spanning forest or null."""
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) or 1e-9
+    kind = precision(found)
     table = blocks(found, epsilon, block_rows)
-    meta = table.select("block", "label", "dim", "low", "high")
-    cell = lambda c: F.floor(F.element_at(c, 1) / epsilon)
-    home = meta.select("label", "dim", F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
-    near = meta.select("label", "dim", F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
-    gaps = F.zip_with(F.zip_with("la", "hb", lambda x, y: x - y), F.zip_with("lb", "ha", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    close = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= (epsilon * 1.000001) ** 2
-    pairs = home.join(near, ["label", "dim", "cell"]).where((F.col("a") <= F.col("b")) & close).select("a", "b").distinct()
-    dealt = pairs.withColumn("lot", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / partners))
-    lots = dealt.select("a", "lot", F.col("b").alias("block")).union(dealt.select("a", "lot", F.col("a").alias("block"))).distinct()
-    wanted = dealt.groupBy("a", "lot").agg(F.max((F.col("a") == F.col("b")).cast("int")).alias("own")).withColumnRenamed("a", "a2").withColumnRenamed("lot", "lot2")
-    loaded = lots.join(wanted, (F.col("a") == F.col("a2")) & (F.col("lot") == F.col("lot2"))).drop("a2", "lot2").join(table.select("block", "ids", "n", "vectors"), "block")
+    pairs = near_blocks(table, epsilon)
+    wanted = pairs.select("up", "up2", F.explode(F.array(F.struct(F.col("a").alias("w"), F.lit(True).alias("left")), F.struct(F.col("b").alias("w"), F.lit(False).alias("left")))).alias("w"))
+    wanted = wanted.groupBy("up", "up2", "w.w").agg(F.max("w.left").alias("left"))  # a block is on both sides only of an interval with itself
+    loaded = wanted.join(table.select("block", "ids", "n", "vectors"), F.col("w") == F.col("block")).drop("w")
 
     def join(group: pa.Table) -> pa.Table:
-        a_id, own = group.column("a")[0].as_py(), group.column("own")[0].as_py()
-        rows = group.select(["block", "ids", "n", "vectors"]).to_pylist()
-        a = next(_Side(r["ids"], r["n"], r["vectors"]) for r in rows if r["block"] == a_id)
-        ids, links, left, right = [], [], [], []
-        for r in rows:
-            same = r["block"] == a_id
-            if same and not own:
-                continue
-            b = a if same else _Side(r["ids"], r["n"], r["vectors"])
-            found_: list = []
-            _join(a, b, slice(0, len(a.ids)), slice(0, len(b.ids)), same, epsilon, cosine, found_)
-            i = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found_]])
-            j = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found_]])
-            ids += [a.ids, b.ids]
-            links += [np.bincount(i, b.n[j], len(a.ids)), np.bincount(j, a.n[i], len(b.ids))]
-            node, root = local_forest(a.ids[i], b.ids[j])
-            left.append(node)
-            right.append(root)
-        every, at = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.zeros(0), *links]), len(every)).astype(np.int64)
-        node, root = local_forest(np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right]))
+        same = group.column("up")[0].as_py() == group.column("up2")[0].as_py()
+        rows = group.select(["block", "left", "ids", "n", "vectors"]).to_pylist()
+        a = _Side(rows if same else [r for r in rows if r["left"]], kind)
+        b = a if same else _Side([r for r in rows if not r["left"]], kind)
+        got: list = []
+        _join(a, b, slice(0, len(a.ids)), slice(0, len(b.ids)), same, epsilon, cosine, got)
+        i = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in got]])
+        j = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in got]])
+        every, at = np.unique(np.concatenate([a.ids, b.ids]), return_inverse=True)
+        links = np.concatenate([np.bincount(i, b.n[j], len(a.ids)), np.bincount(j, a.n[i], len(b.ids))])
+        total = np.bincount(at, links, len(every)).astype(np.int64)
+        node, root = local_forest(a.ids[i], b.ids[j])
         some = total > 0
         return pa.table({"id": np.concatenate([every[some], node]), "links": np.concatenate([total[some], np.zeros(len(node), np.int64)]), "other": pa.array([None] * int(some.sum()) + root.tolist(), pa.int64())})
 
-    return loaded.groupBy("a", "lot").applyInArrow(join, "id long, links long, other long")
+    return loaded.groupBy("up", "up2").applyInArrow(join, "id long, links long, other long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -207,6 +252,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     roots = components(joined.where("other is not null"), "id", "other").withColumnRenamed("node", "k")
     each = found.join(links, F.col("class_id") == F.col("id"), "left").join(roots, F.col("class_id") == F.col("k"), "left")
     each = each.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
-    rows = vectors.select("vec_id", "label", "embedding").join(each, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
+    rows = vectors.select("vec_id", "label", "embedding").join(each, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import embeddings, revisits, simhash, substring, toxicity
+from tessera.llm import revisits, simhash, substring, toxicity
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)]
@@ -92,31 +92,6 @@ def test_substring_matches_brute_force(docs, empty):
     assert substring.report(empty).count() == 0
 
 
-def test_embeddings_match_brute_force(spark):
-    r = np.random.default_rng(2)
-    base = r.standard_normal((20, 16))
-    vecs = [base[i % 20] + 0.02 * r.standard_normal(16) * (i % 3) for i in range(120)]
-    rows = [(i, [float(x) for x in np.float32(v)], i % 2) for i, v in enumerate(vecs)]
-    rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, [None] * 16, 0), (204, rows[0][1], None), (205, rows[0][1], 0), (206, [1.0, 2.0], 0), (207, [2.0, 4.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    ok = [x for x in rows if x[1] and x[2] is not None and x[0] not in (201, 202, 203)]
-    links = {x[0]: set() for x in rows}
-    for a in ok:
-        for b in ok:
-            if a[0] != b[0] and a[2] == b[2] and len(a[1]) == len(b[1]):
-                u, v = np.float32(a[1]).astype(float), np.float32(b[1]).astype(float)
-                if u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) >= 0.98:
-                    links[a[0]].add(b[0])
-    comp = {i: i for i in links}
-    for _ in links:
-        for i in links:
-            for j in links[i]:
-                comp[i] = comp[j] = min(comp[i], comp[j])
-    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
-    assert {i: (len(links[i]), comp[i], comp[i] == i) for i in links} == {i: (x.n_links, x.component_id, x.kept) for i, x in got.items()}
-    assert embeddings.near_duplicates(df.limit(0)).count() == 0
-
-
 def test_revisits_across_time_spans(spark):
     h = {"Content-Type": "text/html", "Expires": "0"}
     rows = [(1, "http://www.a.com/x", 10, "response", "t1", None, "d1", h), (2, "https://a.com/x/", 20, "response", "t2", None, "d2", h), (3, "http://a.com/x", 20, "revisit", "t1", None, None, {"expires": "9", "Content-Length": "0"}), (4, "http://A.com/x#f", 30, "revisit", "t1", None, None, None), (5, "http://b.com", 30, "revisit", "t", None, None, None), (6, None, 1, "revisit", None, None, None, None), (7, "http://a.com/x", 40, "revisit", None, None, None, None)]
