@@ -73,16 +73,23 @@ def plan(sized: DataFrame, block_words: int, weights: tuple[float, ...] = WEIGHT
     return t.select("source", "rank", "source_size", "target", "blocks", "slots")
 
 
-def _numbers(table: DataFrame, count: str, chunk: int, *keys: str) -> DataFrame:
-    """``t`` from 0 to the count less 1 for each row, in chunks of their own: a large count is many tasks."""
+def _numbers(table: DataFrame, count: str, chunk: int, tasks: int, *keys: str) -> DataFrame:
+    """``t`` from 0 to the count less 1 for each row, in chunks of their own: a large count is many tasks.
+
+    The number of tasks is fixed, as the few rows dealt here make many.
+    """
     few = table.where(F.col(count) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk))).alias("chunk"))
     low = F.col("chunk") * chunk
-    return few.repartition(*[F.col(k) for k in keys], F.col("chunk")).select("*", F.explode(F.sequence(low, F.least(low + chunk, F.col(count)) - 1)).alias("t"))
+    return few.repartition(tasks, *[F.col(k) for k in keys], F.col("chunk")).select("*", F.explode(F.sequence(low, F.least(low + chunk, F.col(count)) - 1)).alias("t"))
+
+
+def _tasks(planned: DataFrame, slots_per_task: int = 50_000) -> int:
+    return 1 + (planned.agg(F.sum("slots")).first()[0] or 0) // slots_per_task
 
 
 def drawn(planned: DataFrame, shards: int, seed: int = 0, chunk: int = 4096) -> DataFrame:
     """rank, shard and n, the number of slots drawn, and first, the index of the first of them; sources and shards with some."""
-    each = _numbers(planned.select("rank", "slots"), "slots", chunk, "rank")
+    each = _numbers(planned.select("rank", "slots"), "slots", chunk, _tasks(planned), "rank")
     counts = each.select("rank", F.pmod(F.xxhash64("t", "rank", F.lit(seed), F.lit(-1)), F.lit(shards)).cast("int").alias("shard")).groupBy("rank", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -91,7 +98,7 @@ def drawn(planned: DataFrame, shards: int, seed: int = 0, chunk: int = 4096) ->
 def slots(planned: DataFrame, shards: int, seed: int = 0, chunk: int = 4096) -> DataFrame:
     """One row per output slot: shard, source rank, block."""
     counts = drawn(planned, shards, seed, chunk).join(planned.select(F.col("rank").alias("r"), "blocks"), F.col("rank") == F.col("r")).drop("r")
-    each = _numbers(counts, "n", chunk, "rank", "shard")
+    each = _numbers(counts, "n", chunk, _tasks(planned), "rank", "shard")
     return each.select("shard", "rank", permuted(F.pmod(F.col("first") + F.col("t"), F.col("blocks")), F.col("blocks"), seed, F.col("rank")).alias("block"))
 
 
