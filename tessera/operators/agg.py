@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
 from ..session import checkpointed
-from .base import Cols, Entries, Operator, StatOperator, flat, present
-from .rel import lookup
+from .base import Cols, Entries, Operator, StatOperator, col, flat, present
+from .rel import lookup, measured
 
 _NARROW = {"count": "int", "nunique": "int", "mean": "float", "median": "float", "std": "float", "var": "float", "sum": "float"}
 
 
 class Groupby(Operator):
-    """One row per key; lists, first and last follow sort_cols (first and last by ascending order).
+    """One row per key; lists, first and last follow sort_cols (first and last by ascending order), or without them the order of the input.
 
     Rows with a null key are dropped.  Nulls stay in lists.  Key columns are
     part of the result if they were selected.
@@ -53,33 +53,33 @@ class Groupby(Operator):
         wanted = self._wanted(entries)
         known = F.lit(True)
         for k in self.groupby_cols:
-            known = known & present(F.col(k), kinds[k]).isNotNull()
-        ordered = sorted({c for c, a in wanted if a in ("list", "first", "last")})
-        order = [F.col(c).alias(f"s{i}") for i, c in enumerate(self.sort_cols)]
+            known = known & present(col(k), kinds[k]).isNotNull()
+        df = df.where(known)
+        order = [col(c).alias(f"s{i}") for i, c in enumerate(self.sort_cols)]
+        if not order and any(a in ("list", "first", "last") for _, a in wanted):
+            df = df.withColumn("__order", F.monotonically_increasing_id())  # the order of the input
+            order = [F.col("__order").alias("s0")]
+        place = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in wanted))}
         aggs: list[Column] = []
-        lists = [c for c, a in wanted if a == "list"]
+        lists = list(dict.fromkeys(c for c, a in wanted if a == "list"))
         if lists:
             # one ordered list of structs per group serves all list aggregations
-            kept = dict.fromkeys(lists)
-            rows = F.collect_list(F.struct(*order, *([] if order else [F.monotonically_increasing_id().alias("s")]), *[F.col(c).alias(f"v_{c}") for c in kept]))
-            aggs.append((F.sort_array(rows, self.ascending) if self.sort_cols else F.array_sort(rows)).alias("__lists"))
-        key = F.struct(*order) if order else F.monotonically_increasing_id()
-        for c in ordered:
-            if (c, "first") in wanted:
-                aggs.append(F.min_by(F.struct(F.col(c).alias("v")), key)["v"].alias(f"__first_{c}"))
-            if (c, "last") in wanted:
-                aggs.append(F.max_by(F.struct(F.col(c).alias("v")), key)["v"].alias(f"__last_{c}"))
-        for c, a in wanted:
-            x = present(F.col(c), kinds[c])
-            f = {"sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "count": F.count, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "median": F.median, "nunique": F.count_distinct, "min": F.min, "max": F.max}.get(a)
-            if f:
-                aggs.append(f(x).alias(f"__{a}_{c}"))
-            elif a not in ("list", "first", "last"):
+            rows = F.collect_list(F.struct(*order, *[col(c).alias(f"v{place[c]}") for c in lists]))
+            aggs.append(F.sort_array(rows, self.ascending or not self.sort_cols).alias("__lists"))
+        plain = {"sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "count": F.count, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "median": F.median, "nunique": F.count_distinct, "min": F.min, "max": F.max}
+        ends = {"first": F.min_by, "last": F.max_by}
+        for c, a in dict.fromkeys(wanted):
+            if a in plain:
+                aggs.append(plain[a](present(col(c), kinds[c])).alias(f"__{a}{place[c]}"))
+            elif a in ends:
+                aggs.append(ends[a](F.struct(col(c).alias("v")), F.struct(*order))["v"].alias(f"__{a}{place[c]}"))
+            elif a != "list":
                 raise ValueError(f"unknown aggregation: {a}")
-        grouped = df.where(known).groupBy(*[F.col(k).alias(f"__key_{k}") for k in self.groupby_cols]).agg(*aggs)
-        out = [F.col(f"__key_{k}").alias(k) for k in flat(entries) if k in self.groupby_cols]
+        keys = [col(k).alias(f"__key{i}") for i, k in enumerate(self.groupby_cols)]
+        grouped = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+        out = [F.col(f"__key{self.groupby_cols.index(k)}").alias(k) for k in flat(entries) if k in self.groupby_cols]
         for c, a in wanted:
-            x = F.col("__lists")[f"v_{c}"] if a == "list" else F.col(f"__{a}_{c}")  # a field of an array of structs is an array
+            x = F.col("__lists")[f"v{place[c]}"] if a == "list" else F.col(f"__{a}{place[c]}")  # a field of an array of structs is an array
             out.append((x.cast(_NARROW[a]) if a in _NARROW else x).alias(f"{c}{self.name_sep}{a}"))
         return grouped.select(*out)
 
@@ -87,13 +87,13 @@ class Groupby(Operator):
 _STATS = {"count": None, "sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max}
 
 
-def _joined(df: DataFrame, table: DataFrame, tag: str, keys: list[Column], rows: int | None) -> DataFrame:
+def _joined(df: DataFrame, table: DataFrame, tag: str, keys: list[Column], size: int | None, room: object) -> DataFrame:
     """A null-safe left join with a table whose key columns are k0, k1, ..."""
     right = table.select(*[F.col(c).alias(f"{tag}{c}") for c in table.columns])
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & k.eqNullSafe(F.col(f"{tag}k{i}"))
-    return df.join(lookup(right, rows), on, "left")
+    return df.join(lookup(right, size, room), on, "left")
 
 
 class JoinGroupby(StatOperator):
@@ -107,7 +107,7 @@ class JoinGroupby(StatOperator):
         if unknown:
             raise ValueError(f"unknown statistics: {sorted(unknown)}")
         self.found: dict[str, DataFrame] = {}
-        self.rows: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}
         self.cont_names: list[str] | None = list(cont_cols) if isinstance(cont_cols, (list, tuple)) and all(isinstance(c, str) for c in cont_cols) else [cont_cols] if isinstance(cont_cols, str) else [] if cont_cols is None else None
 
     @property
@@ -148,31 +148,32 @@ class JoinGroupby(StatOperator):
                 x = present(cols[c], schema[c].dtype)
                 aggs += [_STATS[s](x).alias(f"c{i}{s}") for s in self.stats if s != "count"]
             table = checkpointed(df.groupBy(*keys).agg(*aggs))
-            self.found[g], self.rows[g] = table, table.count()
+            self.found[g], self.sizes[g] = table, measured(table)[1]
         self.fitted = True
 
     def extend(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema, fitting: bool = False) -> tuple[DataFrame, Cols]:
         self.need_fit()
+        place = {g: i for i, g in enumerate(self._groups(entries))}
         for g, members in self._groups(entries).items():
-            df = _joined(df, self.found[g], f"__jg{id(self)}{g}", [present(cols[m], schema[m].dtype) for m in members], self.rows.get(g))
+            df = _joined(df, self.found[g], f"__jg{id(self)}_{place[g]}", [present(cols[m], schema[m].dtype) for m in members], self.sizes.get(g), self.room)
         kinds = {c.name: c.dtype for c in self.output_schema(schema, entries)}
         out = {}
         for n, (g, c, s) in self._outputs(entries).items():
-            x = F.col(f"__jg{id(self)}{g}" + ("count" if c is None else f"c{self.cont_names.index(c)}{s}"))
+            x = F.col(f"__jg{id(self)}_{place[g]}" + ("count" if c is None else f"c{self.cont_names.index(c)}{s}"))
             out[n] = x.cast(kinds[n]) if s in ("count", "mean", "std", "var") else x
         return df, out
 
     def clear(self) -> None:
-        self.found, self.rows, self.fitted = {}, {}, False
+        self.found, self.sizes, self.fitted = {}, {}, False
 
     def params(self) -> dict:
         return {"cont_cols": self.cont_names or None, "stats": self.stats, "name_sep": self.name_sep}
 
     def state(self) -> dict:
-        return {"rows": self.rows, "cont_names": self.cont_names}
+        return {"sizes": self.sizes, "cont_names": self.cont_names}
 
     def load_state(self, state: dict) -> None:
-        self.rows, self.cont_names = state["rows"], state["cont_names"]
+        self.sizes, self.cont_names = state["sizes"], state["cont_names"]
 
     def tables(self) -> dict[str, DataFrame]:
         return dict(self.found)
@@ -201,7 +202,7 @@ class TargetEncoding(StatOperator):
         self.fold_key = [fold_key] if isinstance(fold_key, str) else fold_key
         self.means: dict[str, float] = {}
         self.found: dict[str, DataFrame] = {}
-        self.rows: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}
 
     @property
     def dependencies(self) -> list:
@@ -254,7 +255,7 @@ class TargetEncoding(StatOperator):
             else:
                 table = by_fold.groupBy(*names).agg(*total)
             table = checkpointed(table)
-            self.found[g], self.rows[g] = table, table.count()
+            self.found[g], self.sizes[g] = table, measured(table)[1]
             if any(t not in self.means for t in self.target):
                 got = table.agg(*[F.sum(f"s{i}") / F.sum(f"n{i}") for i in range(len(self.target))]).first()
                 self.means |= {t: float(got[i] or 0.0) for i, t in enumerate(self.target) if t not in self.means}
@@ -265,10 +266,11 @@ class TargetEncoding(StatOperator):
         out: Cols = {}
         use_folds = self._folded and (fitting or self.folds_at_transform)
         fold = self.fold(entries, cols) if self._folded else None
+        place = {g: i for i, g in enumerate(self._groups(entries))}
         for g, members in self._groups(entries).items():
-            df = _joined(df, self.found[g], f"__te{id(self)}{g}", [present(cols[m], schema[m].dtype) for m in members], self.rows.get(g))
+            df = _joined(df, self.found[g], f"__te{id(self)}_{place[g]}", [present(cols[m], schema[m].dtype) for m in members], self.sizes.get(g), self.room)
         for name, (g, t) in self._outputs(entries).items():
-            i, tag, mean, p = self.target.index(t), f"__te{id(self)}{g}", self.means[t], float(self.p_smooth)
+            i, tag, mean, p = self.target.index(t), f"__te{id(self)}_{place[g]}", self.means[t], float(self.p_smooth)
             s, n = F.coalesce(F.col(f"{tag}s{i}"), F.lit(0.0)), F.coalesce(F.col(f"{tag}n{i}"), F.lit(0))
             if use_folds:
                 own = F.try_element_at(F.col(f"{tag}folds"), fold)
@@ -279,16 +281,16 @@ class TargetEncoding(StatOperator):
         return df, out
 
     def clear(self) -> None:
-        self.found, self.rows, self.means, self.fitted = {}, {}, {}, False
+        self.found, self.sizes, self.means, self.fitted = {}, {}, {}, False
 
     def params(self) -> dict:
         return {k: getattr(self, k) for k in ("target", "target_mean", "kfold", "fold_seed", "p_smooth", "out_col", "out_dtype", "name_sep", "drop_folds", "fold_key", "folds_at_transform")}
 
     def state(self) -> dict:
-        return {"rows": self.rows, "means": self.means}
+        return {"sizes": self.sizes, "means": self.means}
 
     def load_state(self, state: dict) -> None:
-        self.rows, self.means = state["rows"], state["means"]
+        self.sizes, self.means = state["sizes"], state["means"]
 
     def tables(self) -> dict[str, DataFrame]:
         return dict(self.found)

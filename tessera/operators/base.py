@@ -34,6 +34,11 @@ def flat(entries: Entries) -> list[str]:
     return list(dict.fromkeys(n for e in entries for n in ([e] if isinstance(e, str) else e)))
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def missing(c: Column, dtype: str | None) -> Column:
     """Null, or NaN in a float column."""
     return c.isNull() | F.isnan(c) if dtype in ("float", "double") else c.isNull()
@@ -51,10 +56,24 @@ def elementwise(c: Column, dtype: str | None, f: Callable[[Column, str | None],
     return f(c, dtype)
 
 
+class Room:
+    """Bytes that all lookups of one row set may take in an executor's memory, together."""
+
+    def __init__(self, left: int = 256 << 20) -> None:
+        self.left = left
+
+    def fits(self, size: int | None) -> bool:
+        if size is None or size > self.left:
+            return False
+        self.left -= size
+        return True
+
+
 class Operator:
     """Identity; the base of all operators."""
 
-    #: parameters that are saved, by constructor name
+    #: how many bytes of lookups may still be broadcast to the rows at hand; the compiler hands it on
+    room: Room | None = None
     output_tags: tuple[str, ...] = ()
     output_dtype: str | None = None
     output_properties: dict = {}

@@ -7,20 +7,22 @@ the vocabulary by falling frequency, ties by key, nulls first.
 from __future__ import annotations
 
 import warnings
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schema import ColumnSchema, Schema, Tags
-from ..session import checkpointed
-from .base import Cols, Entries, StatOperator, flat, present
-from .rel import lookup
+from ..session import checkpointed, shared_dir
+from .base import Cols, Entries, StatOperator, col, present
+from .rel import lookup, measured
 from .row import embedding_size, hashed
 
 #: Above so many keys, positions come from a distributed sort instead of one window.
 WINDOW_ROWS = 1_000_000
 #: List columns are encoded through a map up to so many keys, above by explode and join.
-MAP_ROWS = 20_000
+MAP_ROWS = 256
 
 
 def positions(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
@@ -40,6 +42,18 @@ def positions(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     return placed.join(F.broadcast(table), part == F.col("p")).withColumn("position", F.col("o") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "p", "o")
 
 
+def _leaf(dtype: str | None) -> str | None:
+    return dtype[6:-1] if dtype and dtype.startswith("array<") else dtype
+
+
+def _cell(group: int, value: Column) -> Column:
+    return F.struct(F.lit(group).alias("g"), value.alias("k0"))
+
+
+def _cells(group: int, values: Column, leaf: str) -> Column:
+    return F.transform(values, lambda x: _cell(group, present(x, leaf)))
+
+
 class Categorify(StatOperator):
     output_tags = (Tags.CATEGORICAL,)
 
@@ -99,39 +113,105 @@ class Categorify(StatOperator):
     # fitting
 
     def fit(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema) -> None:
-        start = 0
-        for name, members in self.groups(entries).items():
-            b = self._buckets(name, members)
-            keys = [f"k{i}" for i in range(len(members))] if self.encode_type == "combo" and len(members) > 1 else ["k0"]
-            given = self._given(df, name, members)
-            if given is not None:
-                table, meta = given.withColumn("size", F.lit(None).cast("long")), {"null_size": None, "oov_size": None}
-            else:
-                table, meta = self._count(df, members, keys, cols, schema, name)
-            limit = self._option(self.max_size, name, members)
+        """Counts all single columns of a type in one scan, and numbers their small vocabularies in one job."""
+        groups = self.groups(entries)
+        given = {n: t for n, m in groups.items() if (t := self._given(df, n, m)) is not None}
+        combos = [n for n, m in groups.items() if n not in given and self.encode_type == "combo" and len(m) > 1]
+        for name, members in groups.items():
+            limit, b = self._option(self.max_size, name, members), self._buckets(name, members)
             if limit and limit < b + 2:
                 raise ValueError(f"max_size must leave room for null and {b} out-of-vocabulary ids")
-            order = [F.desc("size"), *[F.asc_nulls_first(k) for k in keys]]
-            if given is None:
-                least = self._option(self.freq_threshold, name, members)
-                kept = table.where(F.col("size") >= least) if least else table
-                if limit:
-                    kept = kept.orderBy(*order).limit(limit - 2 - b)
-                rows = kept.count()
-                kept = positions(kept, order, rows)
-            else:
-                kept, rows = table, table.count()
-            kept = kept.withColumn("label", (F.col("position") + 2 + b).cast("long"))
-            self.vocabularies[name] = self._stored(kept.select(*keys, "size", "label"), name)
-            if given is None:
-                total, seen = table.agg(F.sum("size")).first()[0] or 0, self.vocabularies[name].agg(F.sum("size")).first()[0] or 0
-                meta["oov_size"] = total - seen
-                meta["unique_size"] = seen
-            self.metas[name] = {"buckets": b, "rows": rows, "keys": len(keys), "members": list(members), **meta}
+        by_type: dict[tuple, list[str]] = {}
+        for name, members in groups.items():
+            if name not in given and name not in combos:
+                by_type.setdefault(tuple(sorted({_leaf(schema[m].dtype) for m in members})), []).append(name)
+        for name, table in given.items():
+            b = self._buckets(name, groups[name])
+            kept = table.select("k0", F.lit(None).cast("long").alias("size"), (F.col("position") + 2 + b).cast("long").alias("label"))
+            self._keep(name, groups[name], self._stored(kept, name), 1, {"null_size": None, "oov_size": None})
+        for name in combos:
+            keys = [f"k{i}" for i in range(len(groups[name]))]
+            counted = checkpointed(self._combination(df, groups[name], keys, cols, schema).groupBy(*keys).agg(F.count("*").alias("size")))
+            known = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(1)) for k in keys]).isNotNull()
+            null, total, n = counted.agg(F.sum(F.when(~known, F.col("size"))), F.sum(F.when(known, F.col("size"))), F.count(F.when(known, F.lit(1)))).first()
+            self._number(name, groups[name], counted.where(known), keys, n, null or 0, total or 0)
+        for names in by_type.values():
+            self._fit_together(df, names, groups, cols, schema)
+        start = 0
+        for name in groups:
             self.shift[name] = start if self.single_table else 0
-            start += rows
+            start += self.metas[name]["rows"]
         self.fitted = True
 
+    def _fit_together(self, df: DataFrame, names: list[str], groups: dict, cols: Cols, schema: Schema) -> None:
+        """The groups of one key type: one scan that counts (group, value)."""
+        scalars, lists = [], []
+        for g, name in enumerate(names):
+            for m in groups[name]:
+                if schema[m].is_list:
+                    lists.append(_cells(g, cols[m], schema[m].dtype[6:-1]))
+                else:
+                    scalars.append(_cell(g, present(cols[m], schema[m].dtype)))
+        arrays = ([F.array(*scalars)] if scalars else []) + lists
+        if len(scalars) == 1 and not lists:
+            source = df.select(scalars[0].alias("c"))
+        elif len(arrays) == 1:
+            source = df.select(F.explode(arrays[0]).alias("c"))
+        else:
+            source = df.select(F.explode(F.flatten(F.filter(F.array(*arrays), lambda x: x.isNotNull()))).alias("c"))
+        counted = checkpointed(source.groupBy("c.g", "c.k0").agg(F.count("*").alias("size")))
+        known = F.col("k0").isNotNull()
+        stats = {r.g: r for r in counted.groupBy("g").agg(F.sum(F.when(~known, F.col("size"))).alias("null"), F.sum(F.when(known, F.col("size"))).alias("total"), F.count(F.when(known, F.lit(1))).alias("n")).collect()}
+        small = []
+        for g, name in enumerate(names):
+            null, total, n = (stats[g].null or 0, stats[g].total or 0, stats[g].n) if g in stats else (0, 0, 0)
+            if n <= WINDOW_ROWS and not self.out_path:
+                small.append((g, name, null, total))
+            else:
+                self._number(name, groups[name], counted.where(known & (F.col("g") == g)).select("k0", "size"), ["k0"], n, null, total)
+        if not small:
+            return
+        option = lambda f, none: F.element_at(F.create_map(*[x for g, name, _, _ in small for x in (F.lit(g), F.lit(f(name) or none).cast("long"))]), F.col("g"))
+        rest = counted.where(known & F.col("g").isin([g for g, *_ in small])).where(F.col("size") >= option(lambda n: self._option(self.freq_threshold, n, groups[n]), 0))
+        place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("size"), F.asc("k0"))).cast("long") - 1
+        room = lambda n: self._option(self.max_size, n, groups[n]) and self._option(self.max_size, n, groups[n]) - 2 - self._buckets(n, groups[n])
+        placed = rest.withColumn("position", place)
+        limited = placed.where(F.col("position") < option(lambda n: None if not self._option(self.max_size, n, groups[n]) else room(n) or -1, 1 << 62))
+        labelled = limited.select("g", "k0", "size", (F.col("position") + 2 + option(lambda n: self._buckets(n, groups[n]), 1)).alias("label"))
+        # a folder for each group, so that a lookup reads its own keys only
+        path = f"{shared_dir(df.sparkSession)}/vocabularies-{uuid4().hex}"
+        key_type = labelled.schema["k0"].dataType
+        labelled.repartition("g").write.partitionBy("g").parquet(path)
+        kept = {r.g for r in df.sparkSession.read.schema("g int").parquet(path).select("g").distinct().collect()} if stats else set()
+        for g, name, null, total in small:
+            table = df.sparkSession.read.parquet(f"{path}/g={g}") if g in kept else df.sparkSession.createDataFrame([], StructType([StructField("k0", key_type), StructField("size", LongType()), StructField("label", LongType())]))
+            self._keep(name, groups[name], table, 1, {"null_size": null, "total": total})
+
+    def _combination(self, df: DataFrame, members: tuple[str, ...], keys: list[str], cols: Cols, schema: Schema) -> DataFrame:
+        if sum(schema[m].is_list for m in members) > 1:
+            raise ValueError("at most one list column can be in a combination")
+        return df.select(*[(F.explode(cols[m]) if schema[m].is_list else present(cols[m], schema[m].dtype)).alias(k) for m, k in zip(members, keys, strict=True)])
+
+    def _number(self, name: str, members: tuple[str, ...], table: DataFrame, keys: list[str], n: int, null: int, total: int) -> None:
+        """The vocabulary of one group, of any size."""
+        b, limit, least = self._buckets(name, members), self._option(self.max_size, name, members), self._option(self.freq_threshold, name, members)
+        order = [F.desc("size"), *[F.asc_nulls_first(k) for k in keys]]
+        kept = table.where(F.col("size") >= least) if least else table
+        if limit:
+            kept = kept.orderBy(*order).limit(limit - 2 - b)
+        kept = positions(kept, order, min(n, limit) if limit else n)
+        kept = kept.select(*keys, "size", (F.col("position") + 2 + b).cast("long").alias("label"))
+        self._keep(name, members, self._stored(kept, name), len(keys), {"null_size": null, "total": total})
+
+    def _keep(self, name: str, members: tuple[str, ...], table: DataFrame, keys: int, meta: dict) -> None:
+        rows, size = measured(table)
+        if "total" in meta:
+            seen = table.agg(F.sum("size")).first()[0] or 0
+            meta = meta | {"oov_size": meta["total"] - seen, "unique_size": seen}
+            del meta["total"]
+        self.vocabularies[name] = table
+        self.metas[name] = {"buckets": self._buckets(name, members), "rows": rows, "bytes": size, "keys": keys, "members": list(members), **meta}
+
     def _given(self, df: DataFrame, name: str, members: tuple[str, ...]) -> DataFrame | None:
         vocab = self.vocabs
         if isinstance(vocab, dict):
@@ -143,38 +223,13 @@ class Categorify(StatOperator):
             table = spark.read.parquet(vocab)
             key = next((c for c in (name, *members) if c in table.columns), table.columns[0])
             if "label" in table.columns:
-                return table.where(F.col(key).isNotNull()).select(F.col(key).alias("k0"), (F.col("label") - F.min("label").over(Window.partitionBy())).alias("position"))
-            values = [r[0] for r in table.select(key).collect()]
-        else:
-            values = list(vocab)
-        values = [v.item() if hasattr(v, "item") else v for v in values if v is not None and v == v]
+                least = table.where(col(key).isNotNull()).agg(F.min("label")).first()[0] or 0
+                return table.where(col(key).isNotNull()).select(col(key).alias("k0"), (F.col("label") - least).alias("position"))
+            ordered = checkpointed(table.select(col(key).alias("k0"), F.monotonically_increasing_id().alias("at")).where("k0 is not null"))
+            return positions(ordered, [F.col("at")], ordered.count()).drop("at")
+        values = [v.item() if hasattr(v, "item") else v for v in vocab if v is not None and v == v]
         kind = dict(df.dtypes).get(members[0]) or None
-        table = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"k0 {kind or ('string' if not values or isinstance(values[0], str) else 'bigint' if isinstance(values[0], int) else 'double')}, position long")
-        return table
-
-    def _count(self, df: DataFrame, members: tuple[str, ...], keys: list[str], cols: Cols, schema: Schema, name: str) -> tuple[DataFrame, dict]:
-        value = lambda m: present(cols[m], schema[m].dtype)
-        if len(keys) > 1:
-            if sum(schema[m].is_list for m in members) > 1:
-                raise ValueError("at most one list column can be in a combination")
-            parts = [(F.explode(cols[m]) if schema[m].is_list else value(m)).alias(k) for m, k in zip(members, keys, strict=True)]
-            source = df.select(*parts)
-        else:
-            plain = [m for m in members if not schema[m].is_list]
-            source = None
-            if plain:
-                stacked = F.explode(F.array(*[value(m) for m in plain])) if len(plain) > 1 else value(plain[0])  # one scan for all
-                source = df.select(stacked.alias("k0"))
-            for m in members:
-                if schema[m].is_list:
-                    leaves = df.select(F.explode(cols[m]).alias("k0")).select(present(F.col("k0"), schema[m].dtype[6:-1]).alias("k0"))
-                    source = leaves if source is None else source.union(leaves)
-        counted = checkpointed(source.groupBy(*keys).agg(F.count("*").alias("size")))
-        none = F.lit(True)
-        for k in keys:
-            none = none & F.col(k).isNull()
-        null_size = counted.where(none).agg(F.sum("size")).first()[0] or 0
-        return counted.where(~none), {"null_size": null_size}
+        return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"k0 {kind or ('string' if not values or isinstance(values[0], str) else 'bigint' if isinstance(values[0], int) else 'double')}, position long")
 
     def _stored(self, table: DataFrame, name: str) -> DataFrame:
         if not self.out_path:
@@ -206,29 +261,32 @@ class Categorify(StatOperator):
     def extend(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema, fitting: bool = False) -> tuple[DataFrame, Cols]:
         self.need_fit()
         out: Cols = {}
+        k = 0
         for name, members in self.groups(entries).items():
             m, table = self.metas[name], self.vocabularies[name]
             b, shift = m["buckets"], self.shift.get(name, 0)
             label = lambda c, shift=shift: c + shift if shift else c
             if m["keys"] > 1:
-                tag = f"__cat{id(self)}_{name}"
+                k += 1
+                tag = f"__cat{id(self)}_{k}"
                 parts = [present(cols[x], schema[x].dtype) for x in members]
                 right = table.select(*[F.col(f"k{i}").alias(f"{tag}{i}") for i in range(m["keys"])], F.col("label").alias(f"{tag}l"))
                 on, none = F.lit(True), F.lit(True)
                 for i, p in enumerate(parts):
                     on, none = on & p.eqNullSafe(F.col(f"{tag}{i}")), none & p.isNull()
-                df = df.join(lookup(right, m["rows"]), on, "left")
+                df = df.join(lookup(right, m["bytes"], self.room), on, "left")
                 filled = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
                 out[name] = F.when(none, F.lit(1)).otherwise(F.coalesce(label(F.col(f"{tag}l")), self._oov(filled, b)))
                 continue
             for x in members:
-                target = name if self.encode_type == "combo" else x
+                k += 1
+                target, tag = name if self.encode_type == "combo" else x, f"__cat{id(self)}_{k}"
                 if schema[x].is_list:
-                    df, out[target] = self._list(df, f"__cat{id(self)}_{x}", cols[x], schema[x].dtype[6:-1], table, m, b, label)
+                    df, out[target] = self._list(df, tag, cols[x], schema[x].dtype[6:-1], table, m, b, label)
                     continue
-                c, tag = present(cols[x], schema[x].dtype), f"__cat{id(self)}_{x}"
+                c = present(cols[x], schema[x].dtype)
                 right = table.select(F.col("k0").alias(f"{tag}k"), F.col("label").alias(f"{tag}l"))
-                df = df.join(lookup(right, m["rows"]), c == F.col(f"{tag}k"), "left")
+                df = df.join(lookup(right, m["bytes"], self.room), c == F.col(f"{tag}k"), "left")
                 out[target] = F.when(c.isNull(), F.lit(1)).otherwise(F.coalesce(label(F.col(f"{tag}l")), self._oov([c], b)))
         lists = {x for members in self.groups(entries).values() for x in members if schema[x].is_list}
         return df, {n: c if set(self.column_mapping(entries)[n]) & lists else c.cast(self.output_dtype) for n, c in out.items()}
@@ -243,7 +301,7 @@ class Categorify(StatOperator):
             return df, F.transform(c, lambda x: encoded(present(x, leaf), F.try_element_at(F.col(f"{tag}m"), present(x, leaf))))
         rows = checkpointed(df.withColumn(f"{tag}id", F.monotonically_increasing_id()))
         each = rows.select(f"{tag}id", F.posexplode(c).alias(f"{tag}p", f"{tag}x")).withColumn(f"{tag}x", present(F.col(f"{tag}x"), leaf))
-        met = each.join(table.select(F.col("k0").alias(f"{tag}k"), F.col("label").alias(f"{tag}l")), F.col(f"{tag}x") == F.col(f"{tag}k"), "left")
+        met = each.join(lookup(table.select(F.col("k0").alias(f"{tag}k"), F.col("label").alias(f"{tag}l")), m["bytes"], self.room), F.col(f"{tag}x") == F.col(f"{tag}k"), "left")
         listed = met.groupBy(F.col(f"{tag}id").alias(f"{tag}r")).agg(F.transform(F.array_sort(F.collect_list(F.struct(f"{tag}p", encoded(F.col(f"{tag}x"), F.col(f"{tag}l")).alias("v")))), lambda s: s["v"]).alias(f"{tag}v"))
         df = rows.join(listed, F.col(f"{tag}id") == F.col(f"{tag}r"), "left")
         return df, F.when(c.isNull(), F.lit(None)).otherwise(F.coalesce(F.col(f"{tag}v"), F.array().cast(f"array<{self.output_dtype}>")))

@@ -78,7 +78,10 @@ class Rename(Operator):
         names = flat(entries)
         if not self.f and self.postfix is None and len(names) > 1:
             raise RuntimeError("a single name cannot be given to several columns")
-        return {self.renamed(n): [n] for n in names}
+        out = {self.renamed(n): [n] for n in names}
+        if len(out) < len(names):
+            raise ValueError("several columns would get the same name")
+        return out
 
     def columns(self, entries: Entries, cols: Cols, schema: Schema) -> Cols:
         return {new: cols[old[0]] for new, old in self.column_mapping(entries).items()}

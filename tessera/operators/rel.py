@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
-from .base import Cols, Entries, Operator, flat, from_path, missing, present, to_path
+from .base import Cols, Entries, Operator, Room, col, flat, from_path, missing, present, to_path
 
-#: A lookup table of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+def measured(table: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a lookup table, as counted: text by its length, other values at 16 bytes."""
+    sizes = [F.lit(32)]
+    for f in table.schema.fields:
+        kind = f.dataType.simpleString()
+        c = col(f.name)
+        sizes.append(F.coalesce(F.octet_length(c), F.lit(0)) + 24 if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 64 if kind.startswith(("array", "map")) else F.lit(16))
+    total = sizes[0]
+    for x in sizes[1:]:
+        total = total + x
+    n, size = table.agg(F.count("*"), F.sum(total.cast("long"))).first()
+    return n, size or 0
 
 
-def lookup(table: DataFrame, rows: int | None) -> DataFrame:
-    """Hints a broadcast only where the number of rows is known to be small."""
-    return F.broadcast(table) if rows is not None and rows <= BROADCAST_ROWS else table
+def lookup(table: DataFrame, size: int | None, room: Room | None) -> DataFrame:
+    """Hints a broadcast only where the bytes are known and fit what is left for the row set; else Spark chooses."""
+    return F.broadcast(table) if (room or Room()).fits(size) else table
 
 
 class Filter(Operator):
@@ -51,7 +61,7 @@ class Dropna(Operator):
         kinds = dict(df.dtypes)
         keep = F.lit(True)
         for n in names:
-            keep = keep & ~missing(F.col(n), kinds[n])
+            keep = keep & ~missing(col(n), kinds[n])
         return df.where(keep)
 
 
@@ -81,7 +91,7 @@ class JoinExternal(Operator):
 
             ext = SparkSession.active().createDataFrame(ext)
         if self.columns_ext:
-            ext = ext.select(*dict.fromkeys([*self.on_ext, *self.columns_ext]))
+            ext = ext.select(*[col(c) for c in dict.fromkeys([*self.on_ext, *self.columns_ext])])
         return ext.dropDuplicates() if self.drop_duplicates_ext else ext
 
     def relate(self, df: DataFrame, entries: Entries, schema: Schema) -> DataFrame:
@@ -90,12 +100,12 @@ class JoinExternal(Operator):
         clash = set(df.columns) & set(ext.columns) - same
         if clash:
             raise ValueError(f"columns of both tables: {sorted(clash)}; choose with columns_ext")
-        right = ext.select(*[F.col(c).alias(f"__ext_{c}") for c in ext.columns])
+        right = ext.select(*[col(c).alias(f"__ext_{c}") for c in ext.columns])
         on = F.lit(True)
         for o, e in zip(self.on, self.on_ext, strict=True):
-            on = on & F.col(o).eqNullSafe(F.col(f"__ext_{e}"))
+            on = on & col(o).eqNullSafe(col(f"__ext_{e}"))
         joined = df.join(right, on, self.how)  # adaptive execution broadcasts a side that turns out small
-        return joined.select(*df.columns, *[F.col(f"__ext_{c}").alias(c) for c in ext.columns if c not in same])
+        return joined.select(*[col(c) for c in df.columns], *[col(f"__ext_{c}").alias(c) for c in ext.columns if c not in same])
 
     def output_schema(self, schema: Schema, entries: Entries) -> Schema:
         ext = Schema.of(self._ext().schema)
@@ -164,35 +174,37 @@ class ColumnSimilarity(Operator):
         if metric not in ("tfidf", "cosine", "inner"):
             raise ValueError(f"unknown metric: {metric}")
         self.left_features, self.right_features, self.metric = left_features, right_features, metric
-        self._rows: dict[str, DataFrame] = {}
 
     def column_mapping(self, entries: Entries) -> dict[str, list[str]]:
         pairs = [e for e in entries if not isinstance(e, str)] or [tuple(flat(entries))]
         return {f"{a}_{b}_sim": [a, b] for a, b in pairs}
 
     def weighted(self, features: DataFrame) -> DataFrame:
-        """row and its entries as a map, weighted and normalised."""
-        f = features.select(F.col(features.columns[0]).cast("long").alias("row"), F.col(features.columns[1]).cast("long").alias("col"), F.col(features.columns[2]).cast("double").alias("value"))
+        """row, col and value of all entries, weighted; cosine and tfidf divide by the row's length."""
+        f = features.select(*[col(c).cast(t).alias(n) for c, t, n in zip(features.columns, ("long", "long", "double"), ("row", "col", "value"), strict=False)])
         if self.metric == "tfidf":
             n = f.agg((F.max("row") + 1).cast("double").alias("n"))
             df_ = f.groupBy(F.col("col").alias("c")).agg(F.count("*").alias("d")).crossJoin(F.broadcast(n))  # n is one row
             f = f.join(df_, F.col("col") == F.col("c")).select("row", "col", (F.col("value") * F.log(F.col("n") / F.col("d"))).alias("value"))
-        rows = f.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-        norm = F.lit(1.0) if self.metric == "inner" else F.col("norm")
-        return rows.select("row", "m", norm.alias("norm"))
+        if self.metric == "inner":
+            return f
+        norms = f.groupBy(F.col("row").alias("r")).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0")
+        return f.join(norms, F.col("row") == F.col("r")).select("row", "col", (F.col("value") / F.col("norm")).alias("value"))
 
     def extend(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema, fitting: bool = False) -> tuple[DataFrame, Cols]:
+        """Each distinct pair of ids once: its left row's entries meet the right row's on (row, column) and are summed."""
         out = {}
+        left = self.weighted(self.left_features)
+        right = self.weighted(self.right_features) if self.right_features is not None else left
+        right = right.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("value").alias("value2"))
         for i, (name, (a, b)) in enumerate(self.column_mapping(entries).items()):
             tag = f"__sim{id(self)}_{i}"
-            for side, c, features in (("l", a, self.left_features), ("r", b, self.right_features if self.right_features is not None else self.left_features)):
-                table = self.weighted(features).select(F.col("row").alias(f"{tag}{side}k"), F.col("m").alias(f"{tag}{side}m"), F.col("norm").alias(f"{tag}{side}n"))
-                df = df.join(table, cols[c].cast("long") == F.col(f"{tag}{side}k"), "left")
-            l, r = F.col(f"{tag}lm"), F.col(f"{tag}rm")
-            dot = F.aggregate(F.map_entries(l), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(r, e["key"]), F.lit(0.0)))
-            norm = F.col(f"{tag}ln") * F.col(f"{tag}rn")
-            known = cols[a].isNotNull() & cols[b].isNotNull()
-            out[name] = F.when(known, F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)))
+            x, y = cols[a].cast("long"), cols[b].cast("long")
+            pairs = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").distinct()
+            met = pairs.join(left, F.col("x") == F.col("row")).join(right, (F.col("y") == F.col("row2")) & (F.col("col") == F.col("col2")))
+            dots = met.groupBy(F.col("x").alias(f"{tag}x"), F.col("y").alias(f"{tag}y")).agg(F.sum(F.col("value") * F.col("value2")).alias(f"{tag}d"))
+            df = df.join(dots, (x == F.col(f"{tag}x")) & (y == F.col(f"{tag}y")), "left")
+            out[name] = F.when(x.isNotNull() & y.isNotNull(), F.coalesce(F.col(f"{tag}d"), F.lit(0.0)))
         return df, {n: c.cast("double") for n, c in out.items()}
 
     def output_schema(self, schema: Schema, entries: Entries) -> Schema:
@@ -208,4 +220,4 @@ class ColumnSimilarity(Operator):
         self.left_features, self.right_features = tables["left"], tables.get("right")
 
 
-__all__ = ["ColumnSimilarity", "DifferenceLag", "Dropna", "Filter", "JoinExternal", "lookup", "present"]
+__all__ = ["ColumnSimilarity", "DifferenceLag", "Dropna", "Filter", "JoinExternal", "lookup", "measured", "present"]

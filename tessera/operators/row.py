@@ -120,7 +120,7 @@ def hashed(c: Column, method: str = "xxhash64") -> Column:
     """A non-negative 60-bit hash of a value as text; md5 can be computed by any SQL engine."""
     if method == "md5":
         return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return F.shiftrightunsigned(F.xxhash64(c), 4)
+    return F.shiftrightunsigned(F.xxhash64(c.cast("string")), 4)
 
 
 def embedding_size(cardinality: int) -> tuple[int, int]:
@@ -194,10 +194,10 @@ class HashedCross(Operator):
     def columns(self, entries: Entries, cols: Cols, schema: Schema) -> Cols:
         out = {}
         for g in self.groups(entries):
-            total = hashed(cols[g[0]], self.method)
+            total, known = hashed(cols[g[0]], self.method), cols[g[0]].isNotNull()
             for n in g[1:]:
-                total = total.bitwiseXOR(hashed(cols[n], self.method))
-            out["_X_".join(g)] = (total % self.of(g)).cast("int")
+                total, known = total.bitwiseXOR(hashed(cols[n], self.method)), known & cols[n].isNotNull()
+            out["_X_".join(g)] = F.when(known, (total % self.of(g)).cast("int"))
         return out
 
     def params(self) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
-from .base import Cols, Entries, StatOperator, elementwise, flat, missing, numeric, present
+from .base import Cols, Entries, StatOperator, col, elementwise, flat, missing, numeric, present
 from .row import FillMissing
 
 
@@ -220,7 +220,7 @@ class DataStats(StatOperator):
 def moments(df: DataFrame, names: list[str]) -> DataFrame:
     """One row per column: count, mean, var and std (n - 1), missing values left out."""
     kinds = dict(df.dtypes)
-    row = [F.struct(F.lit(n).alias("column"), *[a.alias(k) for a, k in zip(_over(F.col(n), kinds[n], {}), ("mean", "std", "min", "max", "count"), strict=True)]) for n in names]
+    row = [F.struct(F.lit(n).alias("column"), *[a.alias(k) for a, k in zip(_over(col(n), kinds[n], {}), ("mean", "std", "min", "max", "count"), strict=True)]) for n in names]
     one = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(row)])
     each = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(row))])).alias("m"))
     return each.select("m.column", F.col("m.count").cast("bigint").alias("count"), "m.mean", (F.col("m.std") * F.col("m.std")).alias("var"), "m.std")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Node
-from ..operators.base import Entries, Operator, flat
+from ..operators.base import Entries, Operator, Room, flat
 from ..schema import ColumnSchema, Schema
 
 
@@ -22,7 +22,7 @@ class RowSet:
     """Rows that several nodes share."""
 
     def __init__(self, df: DataFrame) -> None:
-        self.df, self.n = df, 0
+        self.df, self.n, self.room = df, 0, Room()
 
     def bind(self, cols: dict[str, Column]) -> dict[str, str]:
         """Gives expressions private names in the DataFrame."""
@@ -126,6 +126,7 @@ class Compiler:
             bound = rows.bind({n: F.col(f"`{n}`") for n in declared.column_names})
             return Part(rows, bound, self._typed(declared, rows, bound), declared.column_names)
         rows = everything.rows
+        op.room = rows.room
         rows.df, cols = op.extend(rows.df, main.entries, everything.columns(), everything.schema, self.fitting)
         bound = rows.bind(cols)
         declared = op.output_schema(everything.schema, main.entries)

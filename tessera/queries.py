@@ -224,9 +224,32 @@ def hashed_cross(s, d):
     return _rounded(_fit(["p_partkey"] + ([["p_brand", "p_type"]] >> ops.HashedCross(100, method="md5")), _t(s, d, "part")))
 
 
+@query(f"select l_orderkey, l_linenumber::bigint as l_linenumber, case when qty is not null and disc is not null then xor({_h('l_partkey')}, {_h('l_suppkey')}) % 100 end as \"a_X_b\" from {LINES}")
+def hashed_cross_null(s, d):
+    df = _lines(s, d).withColumn("a", F.expr("if(qty is null, null, l_partkey)")).withColumn("b", F.expr("if(disc is null, null, l_suppkey)"))
+    return _rounded(_fit(KEY + ([["a", "b"]] >> ops.HashedCross(100, method="md5")), df))
+
+
+@query("select count(*) as n, count(distinct p_brand) as brands, 0::bigint as wrong, true as spread from part")
+def hash_bucket_default(s, d):
+    """The default hash: in range, the same for equal values, all buckets of a small range used."""
+    out = _fit(["p_brand"] + ((["p_brand"] >> ops.HashBucket(5)) >> ops.Rename(postfix="_h")), _t(s, d, "part"))
+    one = out.groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_brand_h").alias("low"), F.max("p_brand_h").alias("high"))
+    wrong = F.sum(F.when((F.col("low") != F.col("high")) | (F.col("low") < 0) | (F.col("high") > 4), 1).otherwise(0))
+    return one.agg(F.sum("n").alias("n"), F.count("*").alias("brands"), wrong.alias("wrong"), (F.count_distinct("low") > 1).alias("spread"))
+
+
 SORTED = ["ts", "event_id"]
 
 
+@query("select user_id, array_to_string(list_sort(list(event_type)), ',') as types, count(*) as n, 0::bigint as wrong from events group by user_id")
+def groupby_unsorted(s, d):
+    """Without sort_cols, lists follow the input; first and last are the lists' ends."""
+    out = _fit(["user_id", "event_type"] >> ops.Groupby("user_id", aggs=["list", "first", "last"]), _t(s, d, "events"))
+    ends = (F.element_at("event_type_list", 1) != F.col("event_type_first")) | (F.element_at("event_type_list", -1) != F.col("event_type_last"))
+    return out.select("user_id", F.array_join(F.sort_array("event_type_list"), ",").alias("types"), F.size("event_type_list").cast("bigint").alias("n"), ends.cast("bigint").alias("wrong"))
+
+
 @query("select user_id, string_agg(event_type, ',' order by ts, event_id) as types, count(*) as n from events group by user_id")
 def groupby_list(s, d):
     out = _fit(["user_id", "event_type"] >> ops.Groupby("user_id", sort_cols=SORTED, aggs=["list", "count"]), _t(s, d, "events"))
@@ -487,6 +510,37 @@ def add_metadata(s, d):
     return out
 
 
+@query("select count(*) filter (tags = 'item,id') as items, count(*) filter (tags = 'user') as users, count(*) as n from (values ('o_orderkey', 'item,id'), ('o_custkey', 'user'), ('o_totalprice', 'user')) t(c, tags)")
+def add_tags(s, d):
+    """Tags travel in the fields' metadata, through a Parquet file too."""
+    path = f"{shared_dir(s)}/add_tags"
+    out = Workflow((["o_orderkey"] >> ops.TagAsItemID()) + (["o_custkey", "o_totalprice"] >> ops.TagAsUserFeatures())).fit_transform(Dataset(_t(s, d, "orders")))
+    out.to_parquet(path)
+    tags = [Schema.of(Dataset(path).df.schema)[c].tags for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+    return s.createDataFrame([(sum({"item", "id"} <= set(t) for t in tags), sum(set(t) == {"user"} for t in tags), len(tags))], "items long, users long, n long")
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
+def csv_without_header(s, d):
+    path = f"{shared_dir(s)}/csv_without_header"
+    _t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.mode("overwrite").csv(path)
+    return Dataset(path, engine="csv", names=["o_orderkey", "o_custkey", "o_orderstatus"]).df.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderstatus")
+
+
+@query("select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys from orders where o_orderstatus <> 'F' group by 1")
+def parquet_partitioned(s, d):
+    path = f"{shared_dir(s)}/parquet_partitioned"
+    Dataset(_t(s, d, "orders").select("o_orderkey", "o_orderstatus")).to_parquet(path, partition_on=["o_orderstatus"])
+    return Dataset(path).df.where("o_orderstatus <> 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("select l_orderkey as \"order.key\", v.label as \"part.key\", n.n as \"part.key_count\" from lineitem join (" + _vocab("lineitem", "l_partkey") + ") v using (l_partkey) join (select l_partkey, count(*) as n from lineitem group by 1) n using (l_partkey)")
+def dotted_names(s, d):
+    df = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("order.key"), F.col("l_partkey").alias("part.key"))
+    out = _fit(["order.key"] + (["part.key"] >> ops.Categorify()) + (["part.key"] >> ops.JoinGroupby()), df)
+    return out.select("`order.key`", "`part.key`", F.col("`part.key_count`").cast("bigint").alias("part.key_count"))
+
+
 CONTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATS = ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
 
@@ -556,11 +610,18 @@ def csv_round_trip(s, d):
     return Dataset(path, engine="csv", schema=None).df.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderpriority")
 
 
-@query()
+@query("select 10000::bigint as n, 50::bigint as c, 0::bigint as outside, true as near_mean, true as near_length")
 def datagen_uniform(s, d):
-    return DatasetGen(seed=1).create_df(s, 10_000, {"conts": [ContCol("x", min_val=0, max_val=5)], "cats": [CatCol("c", cardinality=50, multi_min=1, multi_max=4)]})
+    """Ranges and moments of what is generated: a uniform on [0, 5] has mean 2.5; lists of 1 to 4 have 2.5 entries."""
+    df = DatasetGen(seed=1).create_df(s, 10_000, {"conts": [ContCol("x", min_val=0, max_val=5)], "cats": [CatCol("c", cardinality=50, multi_min=1, multi_max=4)]})
+    ids = df.select(F.explode("c").alias("c")).agg(F.count_distinct("c").alias("c"), F.sum(F.when((F.col("c") < 0) | (F.col("c") > 49), 1).otherwise(0)).alias("bad"))
+    own = df.agg(F.count("*").alias("n"), F.sum(F.when((F.col("x") < 0) | (F.col("x") > 5), 1).otherwise(0)).alias("out"), (F.abs(F.avg("x") - 2.5) < 0.1).alias("near_mean"), (F.abs(F.avg(F.size("c")) - 2.5) < 0.1).alias("near_length"))
+    return own.crossJoin(ids).select("n", "c", (F.col("out") + F.col("bad")).alias("outside"), "near_mean", "near_length")  # one row each
 
 
-@query()
+@query("select 10000::bigint as n, 0::bigint as outside, true as near_mean, true as falling")
 def datagen_powerlaw(s, d):
-    return DatasetGen(PowerLawDistro(1.5), seed=1).create_df(s, 10_000, {"conts": [ContCol("x", min_val=1, max_val=100)], "cats": [CatCol("c", cardinality=1000)]})
+    """Density x^-1.5 on [1, 100] has mean (100^0.5 - 1) / (1 - 100^-0.5) = 10; the first id is the most frequent one."""
+    df = DatasetGen(PowerLawDistro(1.5), seed=1).create_df(s, 10_000, {"conts": [ContCol("x", min_val=1, max_val=100)], "cats": [CatCol("c", cardinality=1000)]})
+    bad = F.when((F.col("x") < 1) | (F.col("x") > 100.001) | (F.col("c") < 0) | (F.col("c") > 999), 1).otherwise(0)
+    return df.agg(F.count("*").alias("n"), F.sum(bad).cast("bigint").alias("outside"), (F.abs(F.avg("x") - 10) < 1).alias("near_mean"), (F.mode("c") == 0).alias("falling"))

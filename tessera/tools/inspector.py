@@ -11,6 +11,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.base import col
 from ..operators.stat import profile_aggs
 from ..sources.dataset import Dataset
 
@@ -23,7 +24,7 @@ class DatasetInspector:
         names = [c for group in ("conts", "cats", "labels") for c in columns_dict.get(group, [])]
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, n in enumerate(names):
-            c, dtype = F.col(n), kinds[n]
+            c, dtype = col(n), kinds[n]
             aggs += [a.alias(f"a{i}_{j}") for j, a in enumerate(profile_aggs(c, dtype))]
             if dtype.startswith("array<"):
                 aggs += [F.avg(F.size(c)).alias(f"l{i}"), F.min(F.size(c)).alias(f"m{i}"), F.max(F.size(c)).alias(f"x{i}")]
@@ -39,7 +40,7 @@ class DatasetInspector:
                     one["cardinality"] = distinct
                 if kinds[n].startswith("array<"):
                     one |= {"multi_min": got[f"m{i}"], "multi_max": got[f"x{i}"], "multi_avg": got[f"l{i}"]}
-                    one["cardinality"] = df.select(F.explode(n).alias("x")).agg(F.count_distinct("x")).first()[0]
+                    one["cardinality"] = df.select(F.explode(col(n)).alias("x")).agg(F.count_distinct("x")).first()[0]
                 out[group][n] = one
         if output_file:
             with open(output_file, "w") as f:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import operators
 from .graph import ColumnSelector, Node, as_node
-from .operators.base import Operator, StatOperator, flat
+from .operators.base import Operator, StatOperator, col, flat
 from .plans.compiler import Compiler
 from .schema import Schema
 from .sources.dataset import Dataset
@@ -189,7 +189,7 @@ class Workflow:
                 raise ValueError(f"{n.op.label} is not fitted")
         schema = Schema.of(df.schema).excluding(self._removed)
         used = self._inputs(schema)
-        source = df.select(*[c for c in df.columns if c in used]) if used else df
+        source = df.select(*[col(c) for c in df.columns if c in used]) if used else df
         compiler = Compiler(source, schema.select(source.columns), fitting=fitting, removed=self._removed)
         out = Dataset(compiler.result(self.output_node))
         self._output_schema = compiler.part(self.output_node).schema

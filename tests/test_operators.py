@@ -61,23 +61,82 @@ def test_normalize_constant_lists_and_missing(spark):
     assert col(low, "a", "i") == [0.5, 0.5]
 
 
-def authors(spark):
-    return spark.createDataFrame([(1, ["User_A"], "User_B", 1), (2, ["User_A", "User_E"], "User_B", 2), (3, ["User_B", "User_C"], "User_A", 3), (4, ["User_C"], "User_D", 4)], "i int, Authors array<string>, Engaging string, Post int")
+def baskets(spark):
+    return spark.createDataFrame([(1, ["pear", "plum", "pear"]), (2, ["fig"]), (3, ["plum", "pear"]), (4, []), (5, None), (6, ["fig", None, "kiwi"])], "i int, fruit array<string>")
+
+
+#: pear 3 times, fig and plum twice, kiwi once
+ENCODED = [[3, 5, 3], [4], [5, 3], [], None, [4, 1, 6]]
 
 
 def test_categorify_lists(spark):
-    op = ops.Categorify()
-    assert col(run(["i"] + (["Authors"] >> op), authors(spark)), "Authors", "i") == [[3], [3, 6], [5, 4], [4]]
-    freq = run(["i"] + (["Authors"] >> ops.Categorify(freq_threshold=2)), authors(spark))
-    assert col(freq, "Authors", "i") == [[3], [3, 2], [2, 4], [4]]
+    assert col(run(["i"] + (["fruit"] >> ops.Categorify()), baskets(spark)), "fruit", "i") == ENCODED
+    freq = run(["i"] + (["fruit"] >> ops.Categorify(freq_threshold=3)), baskets(spark))
+    assert col(freq, "fruit", "i") == [[3, 2, 3], [2], [2, 3], [], None, [2, 1, 2]]
 
 
 def test_categorify_joint_and_combo(spark):
-    df = spark.createDataFrame([(1, "A", "B"), (2, "E", "B"), (3, "B", "A"), (4, "C", "D")], "i int, Author string, User string")
-    joint = run(["i"] + ([["Author", "User"]] >> ops.Categorify()), df)
-    assert col(joint, "Author", "i") == [4, 7, 3, 5] and col(joint, "User", "i") == [3, 3, 4, 6]
-    combo = run(["i"] + ([["Author", "User"]] >> ops.Categorify(encode_type="combo")), df)
-    assert col(combo, "Author_User", "i") == [3, 6, 4, 5]
+    df = spark.createDataFrame([(1, "oslo", "rome"), (2, "rome", "oslo"), (3, "rome", "lima"), (4, "oslo", "rome"), (5, None, "lima")], "i int, home string, away string")
+    joint = run(["i"] + ([["home", "away"]] >> ops.Categorify()), df)
+    # rome 4 times, oslo 3 times, lima twice
+    assert col(joint, "home", "i") == [4, 3, 3, 4, 1] and col(joint, "away", "i") == [3, 4, 5, 3, 5]
+    combo = run(["i"] + ([["home", "away"]] >> ops.Categorify(encode_type="combo")), df)
+    # (oslo, rome) twice, then by home, null first, and away
+    assert col(combo, "home_away", "i") == [3, 6, 5, 3, 4]
+
+
+def test_categorify_of_several_types_and_options_in_one_node(spark):
+    df = spark.createDataFrame([(1, "a", 7, 1.5, ["a"]), (2, "a", 7, NAN, ["b", "b"]), (3, "b", 9, None, None), (4, None, None, 1.5, [])], "i int, s string, n bigint, x double, l array<string>")
+    out = run(["i"] + (["s", "n", "x", "l"] >> ops.Categorify(freq_threshold={"s": 2, "n": 1}, num_buckets={"n": 3})), df)
+    assert col(out, "s", "i") == [3, 3, 2, 1] and col(out, "n", "i") == [5, 5, 6, 1] and col(out, "x", "i") == [3, 1, 1, 3]
+    assert col(out, "l", "i") == [[4], [3, 3], None, []]
+    few = run(["i"] + (["s", "n"] >> ops.Categorify(max_size={"n": 4})), df)
+    assert col(few, "s", "i") == [3, 3, 4, 1] and col(few, "n", "i") == [3, 3, 2, 1]
+    none = run(["s"] >> ops.Categorify(), df.where("s is null"))
+    assert col(none, "s") == [1]
+
+
+def test_lookups_are_broadcast_by_their_bytes(spark):
+    from tessera.operators.base import Room
+    from tessera.operators.rel import lookup, measured
+
+    table = spark.createDataFrame([("x" * 1000, i) for i in range(50)], "k0 string, label long")
+    rows, size = measured(table)
+    assert rows == 50 and 50_000 < size < 60_000
+    room = Room(100_000)
+    hinted = lambda t: "broadcast" in t._jdf.queryExecution().logical().toString().lower()
+    assert hinted(lookup(table, size, room)) and not hinted(lookup(table, size, room)) and not hinted(lookup(table, None, room))
+
+
+def test_groupby_with_its_defaults(spark):
+    df = spark.createDataFrame([("k", 2, "a.b"), ("k", 1, None), ("m", 3, "c")], "g string, x int, `y.z` string").coalesce(1)
+    out = {r.g: r for r in run(["g", "x", "y.z"] >> ops.Groupby("g"), df).collect()}
+    assert out["k"]["x_list"] == [2, 1] and out["k"]["y.z_list"] == ["a.b", None] and out["m"]["x_list"] == [3]
+    ends = run(["g", "x"] >> ops.Groupby("g", aggs=["first", "last"]), df).where("g = 'k'").first()
+    assert (ends.x_first, ends.x_last) == (2, 1)
+    assert sorted(col(run(["g"] >> ops.Groupby("g"), df), "g")) == ["k", "m"]
+
+
+def test_hashes_of_null_and_of_equal_text(spark):
+    df = spark.createDataFrame([(1, 1, "1"), (2, None, "x"), (3, 5, None)], "i int, a int, b string")
+    cross = col(run(["i"] + ([["a", "b"]] >> ops.HashedCross(9)), df), "a_X_b", "i")
+    assert cross[0] is not None and cross[1:] == [None, None]
+    one = run(["i"] + (["a", "b"] >> ops.HashBucket(1000)), df).where("i = 1").first()
+    assert one.a == one.b
+
+
+def test_renaming_two_columns_to_one_name_is_an_error(spark):
+    with pytest.raises(ValueError, match="same name"):
+        run(["a", "b"] >> ops.Rename(f=lambda n: "c"), spark.createDataFrame([(1, 2)], "a int, b int"))
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "u", 1.0), (2, "v", 3.0), (3, "u", 5.0)], "`i.d` int, `c.at` string, `x.y` double")
+    node = ["i.d"] + (["c.at"] >> ops.Categorify()) + (["c.at"] >> ops.JoinGroupby(cont_cols=["x.y"], stats=["sum"])) + (["x.y"] >> ops.Normalize()) + (["c.at"] >> ops.TargetEncoding("x.y", kfold=1))
+    out = run(node, df).orderBy("`i.d`").collect()
+    assert [r["c.at"] for r in out] == [3, 4, 3] and [r["c.at_x.y_sum"] for r in out] == [6.0, 3.0, 6.0]
+    kept = run(["i.d", "x.y"] >> ops.Dropna(), df)
+    assert kept.columns == ["i.d", "x.y"] and kept.count() == 3
 
 
 def test_categorify_null_unseen_and_sizes(spark):
@@ -106,7 +165,7 @@ def test_list_join_path_matches_the_map(spark, monkeypatch):
     from tessera.operators import cat
 
     monkeypatch.setattr(cat, "MAP_ROWS", 0)
-    assert col(run(["i"] + (["Authors"] >> ops.Categorify()), authors(spark)), "Authors", "i") == [[3], [3, 6], [5, 4], [4]]
+    assert col(run(["i"] + (["fruit"] >> ops.Categorify()), baskets(spark)), "fruit", "i") == ENCODED
 
 
 def test_groupby_order_nulls_and_dtypes(spark):
