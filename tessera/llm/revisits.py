@@ -8,12 +8,13 @@ their value), else the modification time, else the payload digest; without a
 common validator the match is not proven.  The merged headers are the
 response's, with those a 304 may update (RFC 9110) taken from the revisit.
 
-The as-of join is a window over (canonical URL, time span) and a second, small
-one over the spans' last responses, so a URL that holds a large share of all
-records is many tasks.  Bodies are not moved.
+The as-of join is a window over (canonical URL, time span); a second one, over
+the URL's spans, hands each span the last response before it, a row a span, so a
+URL that holds a large share of all records is many tasks.  Bodies are not moved.
 
-A null URL or time, or no earlier response, leaves a revisit unresolved.
-Repeated records are resolved each.
+A null URL or time, or no earlier response, leaves a revisit unresolved; a null
+record_id is the smallest.  Repeated records are resolved each.  An empty table
+gives no rows.  Other columns of pages or records are not looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, leading www, default port, fragment, tracking parameters and a closing slash go; the host is in lower case."""
+    """Scheme, leading www, the scheme's default port, fragment, tracking parameters and a closing slash go; the host is in lower case."""
     u = F.regexp_replace(url, "#.*$", "")
+    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     u = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host, path = F.lower(F.regexp_extract(u, "^[^/?]*", 0)), F.regexp_replace(u, "^[^/?]*", "")
-    host = F.regexp_replace(F.regexp_replace(host, "^www[0-9]*[.]", ""), ":(80|443)$", "")
+    host = F.regexp_replace(host, "^www[0-9]*[.]", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_replace(path, "[?&](utm_[a-z]+|ref)=[^&]*", "")
     path = F.regexp_replace(path, "^([^?&]*)&", "$1?")
     return F.concat(host, F.regexp_replace(path, "/$", ""))
@@ -47,10 +50,11 @@ def as_of(records: DataFrame, key: str, at: str, kind: Column, value: Column, ti
     order = Window.partitionBy(key, "__span").orderBy(at, "__full", tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__here", F.last(F.when(F.col("__full"), value), ignorenulls=True).over(order))
     if spans > 1:
-        ends = rows.where("__full").groupBy(key, "__span").agg(F.max_by(value, F.struct(at, tie)).alias("__end"))
-        carried = ends.groupBy(key).agg(F.collect_list(F.struct("__span", "__end")).alias("__ends")).withColumnRenamed(key, "__key")
-        before = F.array_max(F.filter("__ends", lambda e: e["__span"] < F.col("__span")))
-        rows = rows.join(carried, F.col(key) == F.col("__key"), "left").withColumn("__here", F.coalesce("__here", before["__end"])).drop("__key", "__ends")
+        # each (key, span) that has rows gets the last value of the spans before it
+        ends = rows.groupBy(F.col(key).alias("__key"), F.col("__span").alias("__s")).agg(F.max_by(F.when(F.col("__full"), value), F.when(F.col("__full"), F.struct(at, tie))).alias("__end"))
+        past = Window.partitionBy("__key").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("__key", "__s", F.last("__end", ignorenulls=True).over(past).alias("__past"))
+        rows = rows.join(carried, (F.col(key) == F.col("__key")) & (F.col("__span") == F.col("__s")), "left").withColumn("__here", F.coalesce("__here", "__past")).drop("__key", "__s", "__past")
     return rows.withColumnRenamed("__here", "latest").drop("__span", "__full")
 
 
@@ -126,7 +130,7 @@ r as (
   from p, (values (1), (2)) t(k)),
 u as (select *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as x from r),
 c as (
-  select *, regexp_replace(regexp_replace(lower(regexp_extract(x, '^[^/?]*')), '^www[0-9]*[.]', ''), ':(80|443)$', '')
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(x, '^[^/?]*')), '^www[0-9]*[.]', ''), case lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) when 'http' then ':80$' when 'https' then ':443$' else '^$' end, '')
          || regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[^/?]*', ''), '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '^([^?&]*)&', '\1?'), '/$', '') as canonical_url
   from u),
 m as (

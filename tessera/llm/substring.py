@@ -17,11 +17,13 @@ is cut to what repeats and each shard of it goes only where it is needed:
    documents stream through it; where the matching statistic reaches the window
    length and the first document is an earlier one, the window is removed.
 
+Blocks deal out rows by doc_id and text, so one doc_id may be in several.
 Hashes only choose which passages are sent; what is removed is matched word by
 word.  A block sends each hash once, so a passage in a third of all documents
 is a row per block.  Null and blank texts have no words; rows with equal doc_id
 are no reason to remove each other; a null doc_id comes after all others and
-is kept against none of its kind.
+is kept against none of its kind.  An empty table gives no rows.  Other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_buffer, bucket_cuts, by_bytes, in_blocks, packed, unpacked, window_hashes, word_hashes, words
+from .common import SPACE, as_buffer, bucket_of, by_bytes, in_blocks, packed, unpacked, window_hashes, word_hashes, words
 
 ANCHOR_WORDS = 6
 _LAST = np.iinfo(np.int64).max
@@ -140,10 +142,10 @@ def _asked(block: int, hashes: np.ndarray, ids: np.ndarray, buckets: int) -> pa.
     low = np.minimum.reduceat(ids, first) if len(first) else ids
     high = np.maximum.reduceat(ids, first) if len(first) else ids
     h = h[first]
-    cuts = bucket_cuts(h, buckets)
-    some = np.flatnonzero(np.diff(cuts))
-    pick = lambda x: [x[b] for b in some]
-    return pa.table({"block": np.full(len(some), block), "bucket": some.astype(np.int32), "hashes": pa.array(pick(packed(h, cuts, "<u8")), pa.binary()), "low": pa.array(pick(packed(low, cuts, "<i8")), pa.binary()), "high": pa.array(pick(packed((low != high), cuts, "u1")), pa.binary())})
+    own = bucket_of(h, buckets)
+    some = np.unique(own)  # empty buckets cost nothing
+    cuts = np.append(np.searchsorted(own, some), len(h))
+    return pa.table({"block": np.full(len(some), block), "bucket": some.astype(np.int32), "hashes": pa.array(packed(h, cuts, "<u8"), pa.binary()), "low": pa.array(packed(low, cuts, "<i8"), pa.binary()), "high": pa.array(packed((low != high), cuts, "u1"), pa.binary())})
 
 
 ASKED = "block long, bucket int, hashes binary, low binary, high binary"

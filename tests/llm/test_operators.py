@@ -79,8 +79,13 @@ def test_substring_matches_brute_force(docs, empty):
         w = tokens(t)
         for k in range(len(w) - 12):
             first.setdefault(tuple(w[k : k + 13]), i)
+    null = docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = docs.union(docs.where("doc_id in (6, 8)")).union(null)
     for size in (1 << 22, 200):
-        got = {r.doc_id: r for r in substring.report(docs, block_bytes=size).collect()}
+        found = substring.report(rows, block_bytes=size).collect()
+        assert len(found) == len(TEXTS) + 3 and len({r for r in found if r.doc_id in (6, 8)}) == 2
+        assert [r.n_removed for r in found if r.doc_id is None] == [32]
+        got = {r.doc_id: r for r in found}
         for i, t in enumerate(TEXTS):
             w = tokens(t)
             gone = [False] * len(w)
@@ -100,6 +105,9 @@ def test_revisits_across_time_spans(spark):
     assert (got[3].status, got[3].response_id, got[3].payload) == ("resolved", 1, "d1")
     assert got[3].headers == {"Content-Type": "text/html", "expires": "9"}
     assert [got[i].status for i in (4, 5, 6, 7)] == ["mismatch", "no_response", "no_response", "unproven"]
+    assert revisits.resolve(df.limit(0)).count() == 0
+    twice = revisits.resolve(df.union(df)).groupBy("record_id", "status", "response_id").count().collect()
+    assert all(r["count"] == 2 for r in twice) and len(twice) == len(got)
     held = F.col("record_id")
     one = revisits.as_of(df.where("url is not null"), "kind", "at", F.col("etag") == "t1", held, "record_id")
     many = revisits.as_of(df.where("url is not null"), "kind", "at", F.col("etag") == "t1", held, "record_id", rows_per_span=1)
@@ -107,6 +115,23 @@ def test_revisits_across_time_spans(spark):
     assert key(one) == key(many)
 
 
+def test_a_hot_url_over_many_spans(spark):
+    r = random.Random(8)
+    rows = [(i, None if r.random() < 0.02 else "http://hot.com" if r.random() < 0.6 else f"http://h{r.randrange(9)}.com", None if r.random() < 0.02 else r.randrange(300), r.choice(["response", "revisit", "revisit"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string").repartition(5)
+    for per_span in (10, 100, 10_000):
+        got = revisits.as_of(df.where("url is not null and at is not null"), "url", "at", F.col("kind") == "response", F.struct("record_id", "at"), "record_id", rows_per_span=per_span)
+        for x in got.where("kind = 'revisit'").collect():
+            want = max(((t, i) for i, u, t, k in rows if u == x.url and k == "response" and t is not None and t < x["at"]), default=None)
+            assert (None if x.latest is None else (x.latest["at"], x.latest.record_id)) == want
+
+
+def test_ports_follow_the_scheme(spark):
+    urls = ["http://www.A.com:80/x/", "https://a.com:443/x", "http://a.com:443/x", "https://a.com:80/x", "a.com:80/x", "HTTP://a.com:80/x?utm_source=1&b=2#f", None, ""]
+    got = [r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select(revisits.canonical(F.col("u")).alias("c")).collect()]
+    assert got == ["a.com/x", "a.com/x", "a.com:443/x", "a.com:80/x", "a.com:80/x", "a.com/x?b=2", None, ""]
+
+
 def test_toxicity_gradients_and_learning():
     r = np.random.default_rng(0)
     net = toxicity.Network(np.sort(r.integers(0, 1 << 60, 5).astype(np.uint64)))
