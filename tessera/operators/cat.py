@@ -11,12 +11,12 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..schema import ColumnSchema, Schema, Tags
 from ..session import checkpointed, shared_dir
 from .base import Cols, Entries, StatOperator, col, present
-from .rel import lookup, measured
+from .rel import lookup, measured, row_bytes
 from .row import embedding_size, hashed
 
 #: Above so many keys, positions come from a distributed sort instead of one window.
@@ -180,12 +180,16 @@ class Categorify(StatOperator):
         labelled = limited.select("g", "k0", "size", (F.col("position") + 2 + option(lambda n: self._buckets(n, groups[n]), 1)).alias("label"))
         # a folder for each group, so that a lookup reads its own keys only
         path = f"{shared_dir(df.sparkSession)}/vocabularies-{uuid4().hex}"
-        key_type = labelled.schema["k0"].dataType
+        kinds = StructType([StructField("k0", labelled.schema["k0"].dataType), StructField("size", LongType()), StructField("label", LongType())])
         labelled.repartition("g").write.partitionBy("g").parquet(path)
-        kept = {r.g for r in df.sparkSession.read.schema("g int").parquet(path).select("g").distinct().collect()} if stats else set()
+        read = df.sparkSession.read
+        every = read.schema(StructType([*kinds.fields, StructField("g", IntegerType())])).parquet(path)
+        sums = {r.g: r for r in every.groupBy("g").agg(F.count("*").alias("rows"), F.sum("size").alias("seen"), F.sum(row_bytes(every.drop("g"))).alias("bytes")).collect()}
         for g, name, null, total in small:
-            table = df.sparkSession.read.parquet(f"{path}/g={g}") if g in kept else df.sparkSession.createDataFrame([], StructType([StructField("k0", key_type), StructField("size", LongType()), StructField("label", LongType())]))
-            self._keep(name, groups[name], table, 1, {"null_size": null, "total": total})
+            got = sums.get(g)
+            table = read.schema(kinds).parquet(f"{path}/g={g}") if got else df.sparkSession.createDataFrame([], kinds)
+            rows, seen, size = (got.rows, got.seen, got.bytes) if got else (0, 0, 0)
+            self._keep(name, groups[name], table, 1, {"null_size": null, "oov_size": total - seen, "unique_size": seen}, rows, size)
 
     def _combination(self, df: DataFrame, members: tuple[str, ...], keys: list[str], cols: Cols, schema: Schema) -> DataFrame:
         if sum(schema[m].is_list for m in members) > 1:
@@ -203,12 +207,12 @@ class Categorify(StatOperator):
         kept = kept.select(*keys, "size", (F.col("position") + 2 + b).cast("long").alias("label"))
         self._keep(name, members, self._stored(kept, name), len(keys), {"null_size": null, "total": total})
 
-    def _keep(self, name: str, members: tuple[str, ...], table: DataFrame, keys: int, meta: dict) -> None:
-        rows, size = measured(table)
+    def _keep(self, name: str, members: tuple[str, ...], table: DataFrame, keys: int, meta: dict, rows: int | None = None, size: int = 0) -> None:
+        if rows is None:
+            rows, size = measured(table)
         if "total" in meta:
             seen = table.agg(F.sum("size")).first()[0] or 0
-            meta = meta | {"oov_size": meta["total"] - seen, "unique_size": seen}
-            del meta["total"]
+            meta = {"null_size": meta["null_size"], "oov_size": meta["total"] - seen, "unique_size": seen}
         self.vocabularies[name] = table
         self.metas[name] = {"buckets": self._buckets(name, members), "rows": rows, "bytes": size, "keys": keys, "members": list(members), **meta}
 

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from ..schema import ColumnSchema, Schema, Tags
 from .base import Cols, Entries, Operator, Room, col, flat, from_path, missing, present, to_path
 
-def measured(table: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) of a lookup table, as counted: text by its length, other values at 16 bytes."""
-    sizes = [F.lit(32)]
+def row_bytes(table: DataFrame) -> Column:
+    """About what a row takes in a lookup: text by its length, other values at 16 bytes."""
+    total = F.lit(32).cast("long")
     for f in table.schema.fields:
-        kind = f.dataType.simpleString()
-        c = col(f.name)
-        sizes.append(F.coalesce(F.octet_length(c), F.lit(0)) + 24 if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 64 if kind.startswith(("array", "map")) else F.lit(16))
-    total = sizes[0]
-    for x in sizes[1:]:
-        total = total + x
-    n, size = table.agg(F.count("*"), F.sum(total.cast("long"))).first()
+        kind, c = f.dataType.simpleString(), col(f.name)
+        total = total + (F.coalesce(F.octet_length(c), F.lit(0)) + 24 if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 64 if kind.startswith(("array", "map")) else F.lit(16))
+    return total
+
+
+def measured(table: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a lookup table, as counted."""
+    n, size = table.agg(F.count("*"), F.sum(row_bytes(table))).first()
     return n, size or 0
 
 

@@ -558,6 +558,23 @@ def workflow_criteo(s, d):
     return _rounded(_fit(criteo_node(), _t(s, d, "lineitem")))
 
 
+#: The benchmark's full width: 13 continuous and 26 categorical columns, four of them of high cardinality with a frequency threshold.
+WIDE_CONTS = {f"i{k}": f"{('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax')[k % 4]} * {k}" for k in range(1, 14)}
+WIDE_CATS = {f"c{k}": f"(l_partkey * {k} + l_suppkey) % {(100_000, 20_000, 5_000, 1_000, 300, 50, 10)[k % 7]}" for k in range(1, 27)} | {"c1": "l_orderkey", "c2": "l_partkey", "c3": "l_orderkey * 8 + l_linenumber", "c4": "l_partkey * 1000 + l_suppkey"}
+RARE = {"c1": 3, "c2": 5, "c3": 2, "c4": 2}
+_WIDE = f"(select l_orderkey, l_linenumber, {', '.join(f'{x} as {n}' for n, x in (WIDE_CONTS | WIDE_CATS).items())} from lineitem)"
+
+
+def wide_node() -> Node:
+    return (list(WIDE_CONTS) >> ops.FillMissing() >> ops.Clip(min_value=0) >> ops.LogOp()) + (list(WIDE_CATS) >> ops.Categorify(freq_threshold=RARE)) + (["l_orderkey"] >> ops.Operator()) + (["l_linenumber"] >> ops.AddTags([Tags.TARGET]))
+
+
+@query(f"with w as materialized {_WIDE} select {', '.join(f'round(ln(1 + greatest(coalesce({c}, 0), 0))::float::double, 4) as {c}' for c in WIDE_CONTS)}, {', '.join(f'coalesce(v_{c}.label, 2) as {c}' for c in WIDE_CATS)}, l_orderkey, l_linenumber::bigint as l_linenumber from w {' '.join(f'left join ({_vocab("w", c, f"having count(*) >= {RARE.get(c, 0)}")}) v_{c} using ({c})' for c in WIDE_CATS)}")
+def workflow_criteo_wide(s, d):
+    df = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(x).alias(n) for n, x in (WIDE_CONTS | WIDE_CATS).items()])
+    return _rounded(_fit(wide_node(), df))
+
+
 @query(_CRITEO)
 def workflow_save_load(s, d):
     path = f"{shared_dir(s)}/workflow_save_load"

@@ -28,12 +28,14 @@ class Workflow:
         self._input_schema: Schema | None = None
         self._output_schema: Schema | None = None
         self._removed: set[str] = set()
+        #: what was fitted last, until the output schema is asked for: its types take a whole plan
+        self._fitted_on: tuple[DataFrame, Schema] | None = None
 
     # schema
 
     def fit_schema(self, schema: Schema) -> Workflow:
         """Output names and, as far as they are known, types from an input schema alone."""
-        self._input_schema = schema.excluding(self._removed)
+        self._input_schema, self._fitted_on = schema.excluding(self._removed), None
         self._output_schema = Compiler(None, self._input_schema, removed=self._removed).part(self.output_node).schema
         return self
 
@@ -46,6 +48,9 @@ class Workflow:
 
     @property
     def output_schema(self) -> Schema | None:
+        if self._fitted_on is not None:
+            df, schema = self._fitted_on
+            self._output_schema, self._fitted_on = Compiler(df, schema, removed=self._removed).part(self.output_node).schema, None
         return self._output_schema
 
     @property
@@ -159,7 +164,7 @@ class Workflow:
                 n.op.fitted = True
             waiting = [n for n in waiting if n not in ready]
         self._input_schema = schema
-        self._output_schema = Compiler(df, schema, removed=self._removed).part(self.output_node).schema
+        self._fitted_on = (df, schema)
         return self
 
     def fit_transform(self, dataset: Dataset | DataFrame) -> Dataset:
@@ -192,7 +197,7 @@ class Workflow:
         source = df.select(*[col(c) for c in df.columns if c in used]) if used else df
         compiler = Compiler(source, schema.select(source.columns), fitting=fitting, removed=self._removed)
         out = Dataset(compiler.result(self.output_node))
-        self._output_schema = compiler.part(self.output_node).schema
+        self._output_schema, self._fitted_on = compiler.part(self.output_node).schema, None
         return out
 
     # saving
@@ -215,7 +220,7 @@ class Workflow:
                     rec["tables"][name] = f"artifacts/node_{i}/table_{k}"
                     table.write.mode("overwrite").parquet(f"{path}/{rec['tables'][name]}")
             nodes.append(rec)
-        graph = {"format_version": FORMAT, "nodes": nodes, "output": ids[id(self.output_node)], "removed": sorted(self._removed), "input_schema": self._input_schema.to_json() if self._input_schema else None, "output_schema": self._output_schema.to_json() if self._output_schema else None}
+        graph = {"format_version": FORMAT, "nodes": nodes, "output": ids[id(self.output_node)], "removed": sorted(self._removed), "input_schema": self._input_schema.to_json() if self._input_schema else None, "output_schema": self.output_schema.to_json() if self.output_schema else None}
         meta = {"versions": {"tessera": VERSION, "pyspark": pyspark.__version__}, "generated": datetime.now(UTC).isoformat()}
         for name, content in (("graph.json", graph), ("metadata.json", meta)):
             spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
