@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import importlib
 import inspect
+import sys
 from collections.abc import Callable
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -175,8 +177,15 @@ def to_path(f: Callable) -> str:
     return path
 
 
+#: While a saved graph is loaded: packages whose callables it may name, besides modules that are imported already.
+trusted: ContextVar[tuple[str, ...] | None] = ContextVar("trusted", default=None)
+
+
 def from_path(path: str) -> Callable:
     module, _, name = path.partition(":")
+    allowed = trusted.get()
+    if allowed is not None and module not in sys.modules and not any(module == x or module.startswith(f"{x}.") for x in allowed):
+        raise SerializationError(f"{path} is of a module that is neither imported nor trusted; name it in load(trusted=...)")
     out: Any = importlib.import_module(module)
     for part in name.split("."):
         out = getattr(out, part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from enum import Enum
 
@@ -23,13 +24,19 @@ class Dataset:
     """From a DataFrame, paths (Parquet, CSV, ORC or JSON; files, folders, globs), pandas or Arrow tables.
 
     names gives the columns of a CSV file without header.  npartitions is
-    honoured; sizes of parts are left to Spark (spark.sql.files.maxPartitionBytes).
-    Files must agree in schema.
+    honoured; sizes of parts are left to Spark (spark.sql.files.maxPartitionBytes),
+    which a warning says where they are given.  Files must agree in schema;
+    check_schema reads all of them for that and raises where one differs.
     """
 
-    def __init__(self, source: object, engine: str | None = None, schema: Schema | None = None, names: list[str] | None = None, npartitions: int | None = None, part_size: object = None, part_mem_fraction: float | None = None, row_groups_per_part: int | None = None, storage_options: dict | None = None, cpu: bool = True, base_dataset: Dataset | None = None, **options) -> None:
+    def __init__(self, source: object, engine: str | None = None, schema: Schema | None = None, names: list[str] | None = None, npartitions: int | None = None, part_size: object = None, part_mem_fraction: float | None = None, row_groups_per_part: int | None = None, storage_options: dict | None = None, cpu: bool = True, base_dataset: Dataset | None = None, check_schema: bool = False, **options) -> None:
         self.base_dataset = base_dataset or self
+        given = [n for n, v in (("part_size", part_size), ("part_mem_fraction", part_mem_fraction), ("row_groups_per_part", row_groups_per_part)) if v is not None]
+        if given:
+            warnings.warn(f"{', '.join(given)}: set spark.sql.files.maxPartitionBytes, or give npartitions", stacklevel=2)
         df = self._read(source, engine, names, {**options, **(storage_options or {})})
+        if check_schema and not isinstance(source, (DataFrame, pd.DataFrame, pa.Table)):
+            self._agree(df, source, engine, options)
         if npartitions:
             df = df.repartition(npartitions)
         if schema is not None:
@@ -54,6 +61,19 @@ class Dataset:
             return df.toDF(*names) if names else df
         return reader.format(kind).load(paths)
 
+    @staticmethod
+    def _agree(df: DataFrame, source: object, engine: str | None, options: dict) -> None:
+        """Raises ValueError unless all files have the columns and types of df."""
+        paths = [source] if isinstance(source, str) else [str(p) for p in source]
+        try:
+            whole = df.sparkSession.read.options(**options).option("mergeSchema", True).format(engine or "parquet").load(paths)
+        except Exception as e:
+            raise ValueError(f"the files differ in the type of a column: {e}") from e
+        kinds = lambda d: {f.name: f.dataType for f in d.schema.fields}
+        one = [kinds(df.sparkSession.read.options(**options).format(engine or "parquet").load(p)) for p in paths]
+        if any(k != kinds(whole) for k in [kinds(df), *one]):
+            raise ValueError(f"the files differ in their columns; together they have {list(kinds(whole))}")
+
     @property
     def schema(self) -> Schema:
         return Schema.of(self.df.schema)
@@ -127,10 +147,18 @@ class Dataset:
     def to_csv(self, output_path: str, mode: str = "overwrite") -> None:
         self.df.write.mode(mode).option("header", True).csv(output_path)
 
-    def to_npy(self, path: str) -> np.ndarray:
-        """Ids and vectors (or plain columns) side by side as one matrix, for tables that fit the driver."""
-        rows = [np.concatenate([np.atleast_1d(np.asarray(v, np.float64)) for v in r]) for r in self.df.collect()]
-        out = np.stack(rows) if rows else np.zeros((0, 0))
+    def to_npy(self, path: str, max_rows: int = 10_000_000) -> np.ndarray:
+        """Ids and vectors (or plain columns) side by side as one matrix; a table of more than max_rows is refused, as it comes to the driver."""
+        got = self.df.limit(max_rows + 1).toArrow()
+        if got.num_rows > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+        parts = []
+        for c in got.columns:
+            c = c.combine_chunks()
+            nested = pa.types.is_list(c.type)
+            flat = (c.flatten() if nested else c).to_numpy(zero_copy_only=False).astype(np.float64)
+            parts.append(flat.reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 0)))
+        out = np.concatenate(parts, 1) if parts else np.zeros((0, 0))
         np.save(path, out)
         return out
 

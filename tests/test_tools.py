@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import Dataset
@@ -27,3 +28,44 @@ def test_batches(spark):
     assert sizes == [10, 10] and len(loader) == 2
     parts = [np.concatenate([x["id"] for x, _ in BatchLoader(Dataset(df), 10, cats=["id"], global_size=2, global_rank=r)]) for r in (0, 1)]
     assert sorted(np.concatenate(parts)) == list(range(25))
+
+
+def test_files_of_different_schemas_are_rejected_on_request(spark, tmp_path):
+    from tessera import Dataset
+
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    spark.createDataFrame([(1, "x")], "i int, s string").write.parquet(a)
+    spark.createDataFrame([(2, "y")], "i int, s string").write.parquet(b)
+    spark.createDataFrame([(2,)], "i int").write.parquet(c)
+    assert Dataset([a, b], check_schema=True).num_rows == 2
+    with pytest.raises(ValueError, match="differ"):
+        Dataset([a, c], check_schema=True)
+    with pytest.warns(UserWarning, match="maxPartitionBytes"):
+        Dataset(a, part_size="128MB")
+
+
+def test_npy_of_ids_and_vectors(spark, tmp_path):
+    from tessera import Dataset
+
+    ds = Dataset(spark.createDataFrame([(1, [0.5, 2.0]), (2, [1.0, 4.0])], "i int, v array<double>").coalesce(1))
+    assert ds.to_npy(str(tmp_path / "m.npy")).tolist() == [[1, 0.5, 2], [2, 1, 4]]
+    with pytest.raises(ValueError, match="more than 1"):
+        ds.to_npy(str(tmp_path / "m.npy"), max_rows=1)
+
+
+def test_a_saved_graph_may_not_import_what_it_likes(spark, tmp_path):
+    import json
+
+    from tessera import Workflow, ops
+    from tessera.operators.base import SerializationError
+
+    path = str(tmp_path / "w")
+    df = spark.createDataFrame([(1,)], "i int")
+    Workflow(["i"] >> ops.Rename(postfix="_x")).fit(df).save(path)
+    graph = json.loads(spark.read.text(f"{path}/graph.json", wholetext=True).first()[0])
+    for n in graph["nodes"]:
+        if n.get("op") == "Rename":
+            n["params"] = {"f": "this:main", "postfix": None, "name": None}
+    spark.createDataFrame([(json.dumps(graph),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/graph.json")
+    with pytest.raises(SerializationError, match="trusted"):
+        Workflow.load(path)
