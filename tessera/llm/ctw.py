@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, as_buffer, bucket_cuts, bucket_of, by_bytes, checkpoint, crc_mod, in_blocks, packed, text_bytes, unpacked, word_hashes, words
+from .common import LOWER, SPACE, as_buffer, bucket_cuts, bucket_of, by_bytes, checkpoint, crc_mod, distinct, in_blocks, packed, places, text_bytes, unpacked, word_hashes, words
 
 END = 255  # never a byte of UTF-8
 #: Parts of the contexts, and as many of the words, at most.
@@ -383,14 +383,16 @@ def report(docs: DataFrame, training: Column | None = None, depth: int = 5, bloc
         blobs = asked.column("keys").to_pylist()
         if not blobs:
             return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "found": pa.array([], pa.binary())})
-        distinct, at = np.unique(unpacked(blobs, "<u8"), return_inverse=True)
+        asked_ = unpacked(blobs, "<u8")
+        wanted = distinct(asked_)
+        at = places(wanted, asked_)
         order = np.argsort(model.column("key").to_numpy().view(np.uint64))
         key, n = model.column("key").to_numpy().view(np.uint64)[order], model.column("n").to_numpy()[order]
         if asked.column("part")[0].as_py() < layout.contexts:
-            found, kind = logs(distinct, key, n, coder, top, layout), "<f4"
+            found, kind = logs(wanted, key, n, coder, top, layout), "<f4"
         else:
-            place, kind = np.minimum(np.searchsorted(key, distinct), max(0, len(key) - 1)), "<i8"
-            found = np.where(key[place] == distinct, n[place], 0) if len(key) else np.zeros(len(distinct), np.int64)
+            place, kind = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1)), "<i8"
+            found = np.where(key[place] == wanted, n[place], 0) if len(key) else np.zeros(len(wanted), np.int64)
         cuts = np.cumsum([0, *[len(b) // 8 for b in blobs]])
         return pa.table({"block": asked.column("block"), "part": asked.column("part"), "found": pa.array(packed(found[at], cuts, kind), pa.binary())})
 
@@ -404,8 +406,7 @@ def report(docs: DataFrame, training: Column | None = None, depth: int = 5, bloc
         codes, log = codes[order], log[order]
         seen, _, hashes, bounds = _block_words(docs_, layout)
         count = unpacked(found[many:], "<i8")
-        order = np.argsort(seen)
-        c = count[order][np.searchsorted(seen[order], hashes)] if len(hashes) else np.zeros(0, np.int64)
+        c = count[places(seen, hashes)] if len(hashes) else np.zeros(0, np.int64)
         per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
         n_tokens = np.diff(bounds) + 1
         known = per_doc(c > 0) + (ends > 0)
@@ -413,8 +414,7 @@ def report(docs: DataFrame, training: Column | None = None, depth: int = 5, bloc
         score, coded = [np.zeros(0)], [np.zeros(0, np.int64)]
         for _, _, texts in _chunks(docs_.column("text").combine_chunks()):
             x, at, first = stream(texts, layout.depth)
-            distinct, index = np.unique(gram_codes(x, at, layout.depth), return_inverse=True)
-            score.append(np.add.reduceat(log[np.searchsorted(codes, distinct)][index], first))
+            score.append(np.add.reduceat(log[places(codes, gram_codes(x, at, layout.depth))], first))
             coded.append(np.diff(np.append(first, len(at))))
         score, coded = np.concatenate(score), np.concatenate(coded)
         return pa.table({"doc_id": docs_.column("doc_id"), "held_out": pa.array([not t for t in docs_.column("training").to_pylist()], pa.bool_()), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(len(n_tokens), total), "base_score": base, "score": score, "bits_per_byte": -score / np.log10(2) / np.maximum(coded, 1)})
@@ -431,8 +431,8 @@ def _block_codes(table: pa.Table, layout: Layout) -> tuple[np.ndarray, np.ndarra
     found = [np.zeros(0, np.uint64)]
     for _, _, texts in _chunks(table.column("text").combine_chunks()):
         x, at, _ = stream(texts, layout.depth)
-        found.append(np.unique(gram_codes(x, at, layout.depth)))
-    codes = np.unique(np.concatenate(found))
+        found.append(distinct(gram_codes(x, at, layout.depth)))
+    codes = distinct(np.concatenate(found))
     part = layout.of_codes(codes)
     order = np.argsort(part, kind="stable")
     return codes[order], np.searchsorted(part[order], np.arange(layout.contexts + 1))
@@ -442,5 +442,5 @@ def _block_words(table: pa.Table, layout: Layout) -> tuple[np.ndarray, np.ndarra
     """(distinct word hashes of a block's texts, where each part's begin, every word's hash, where each text's words begin)."""
     data, offsets = as_buffer(table.column("text"))
     hashes, bounds = _word_hashes(data, offsets)
-    seen = np.unique(hashes)
+    seen = distinct(hashes)
     return seen, bucket_cuts(seen, layout.words), hashes, bounds
