@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ColumnSchema, Schema, Tags
@@ -98,8 +98,34 @@ class NormalizeMinMax(_Scaling):
         return {n: s[3] for n, s in self.stats.items()}
 
 
+def medians(df: DataFrame, values: dict[str, Column], accuracy: int = 100_000) -> dict[str, float | None]:
+    """The exact median of each column, in bounded memory.
+
+    One pass brackets it between two quantiles within the sketch's error; where
+    they differ, a second one counts what lies between: a few values in 100,000.
+    """
+    names = list(values)
+    step = 2 / accuracy
+    ends = F.array(F.lit(0.5 - step), F.lit(0.5 + step))
+    got = df.agg(*[a.alias(f"{k}{i}") for i, n in enumerate(names) for k, a in (("n", F.count(values[n])), ("q", F.percentile_approx(values[n], ends, accuracy)))]).first()
+    out = {n: got[f"q{i}"][0] if got[f"n{i}"] else None for i, n in enumerate(names)}
+    wide = [i for i, n in enumerate(names) if got[f"n{i}"] and got[f"q{i}"][0] != got[f"q{i}"][1]]
+    if not wide:
+        return out
+    below = df.agg(*[F.count_if(values[names[i]] < got[f"q{i}"][0]).alias(f"b{i}") for i in wide]).first()
+    between = lambda i: F.when(values[names[i]].between(*got[f"q{i}"]), F.struct(F.lit(i).alias("i"), values[names[i]].alias("x")))
+    inside = df.select(F.explode(F.array_compact(F.array(*[between(i) for i in wide]))).alias("v")).groupBy("v.i", "v.x").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("x"))
+    first = F.element_at(F.create_map(*[y for i in wide for y in (F.lit(i), F.lit(below[f"b{i}"]))]), F.col("i"))
+    n = F.element_at(F.create_map(*[y for i in wide for y in (F.lit(i), F.lit(got[f"n{i}"]))]), F.col("i"))
+    ranked = inside.withColumn("upto", upto + first).withColumn("n", n)
+    holds = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
+    low, high = holds(F.floor((F.col("n") - 1) / 2)), holds(F.ceil((F.col("n") - 1) / 2))
+    return out | {names[r.i]: r.m for r in ranked.groupBy("i").agg(((low + high) / 2).alias("m")).collect()}
+
+
 class FillMedian(FillMissing, StatOperator):
-    """The median for null and NaN: exact, or approximate (bounded memory) with accuracy."""
+    """The median for null and NaN: exact, or approximate with accuracy; both in bounded memory."""
 
     stat = True
     fitted = False
@@ -108,13 +134,14 @@ class FillMedian(FillMissing, StatOperator):
         self.add_binary_cols, self.accuracy = add_binary_cols, accuracy
         self.medians: dict[str, float] = {}
 
-    def fit_aggs(self, entries: Entries, cols: Cols, schema: Schema) -> list[Column]:
-        self._names = flat(entries)
-        x = lambda n: present(cols[n], schema[n].dtype).cast("double")
-        return [F.percentile_approx(x(n), 0.5, self.accuracy) if self.accuracy else F.median(x(n)) for n in self._names]
-
-    def fit_finalize(self, values: list) -> None:
-        self.medians, self.fitted = dict(zip(self._names, values, strict=True)), True
+    def fit(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema) -> None:
+        x = {n: present(cols[n], schema[n].dtype).cast("double") for n in flat(entries)}
+        if self.accuracy:
+            got = df.agg(*[F.percentile_approx(c, 0.5, self.accuracy).alias(f"a{i}") for i, c in enumerate(x.values())]).first()
+            self.medians = dict(zip(x, got, strict=True))
+        else:
+            self.medians = medians(df, x)
+        self.fitted = True
 
     def value(self, name: str) -> object:
         self.need_fit()
@@ -175,18 +202,42 @@ class ReduceDtypeSize(StatOperator):
 
 
 def profile_aggs(c: Column, dtype: str | None) -> list[Column]:
-    """min, max, mean, std, non-missing, rows and distinct (null for floats) of a column; of text its length."""
+    """min, max, mean, std, non-missing and rows of a column; of text its length."""
     leaf = _leaf(dtype)
     if leaf == "string" and dtype == "string":
         x, whole = F.length(c).cast("double"), c
     elif dtype and dtype.startswith("array<"):
-        return [*_over(c, dtype, {})[2:4], *_over(c, dtype, {})[:2], F.count(c), F.count(F.lit(1)), F.lit(None).cast("bigint")]
+        return [*_over(c, dtype, {})[2:4], *_over(c, dtype, {})[:2], F.count(c), F.count(F.lit(1))]
     elif numeric(dtype) or dtype == "boolean":
         x, whole = present(c, dtype).cast("double"), present(c, dtype)
     else:
         x, whole = F.unix_timestamp(c.cast("timestamp")).cast("double") if dtype in ("timestamp", "timestamp_ntz", "date") else F.lit(None).cast("double"), c
-    distinct = F.lit(None).cast("bigint") if dtype in ("float", "double") else F.count_distinct(c)
-    return [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.count(whole), F.count(F.lit(1)), distinct]
+    return [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.count(whole), F.count(F.lit(1))]
+
+
+def distinct_counts(df: DataFrame, cols: Cols, kinds: dict[str, str | None]) -> dict[str, int]:
+    """How many values each column has, floats left out, and the leaves of each list; one pass, one shuffle of the distinct (column, value)."""
+    names = [n for n in cols if kinds[n] not in ("float", "double")]
+    cells = []
+    for i, n in enumerate(names):
+        if (kinds[n] or "").startswith("array<"):
+            cells.append(_text_cells(i, cols[n]))
+        else:
+            cells.append(F.array(_text_cell(i, cols[n])))
+    if not cells:
+        return {}
+    every = F.flatten(F.filter(F.array(*cells), lambda x: x.isNotNull()))
+    found = df.select(F.explode(every).alias("v")).select("v.i", "v.x").where("x is not null").distinct().groupBy("i").count()
+    got = {r["i"]: r["count"] for r in found.collect()}
+    return {n: got.get(i, 0) for i, n in enumerate(names)}
+
+
+def _text_cell(i: int, value: Column) -> Column:
+    return F.struct(F.lit(i).alias("i"), value.cast("string").alias("x"))
+
+
+def _text_cells(i: int, values: Column) -> Column:
+    return F.transform(values, lambda x: _text_cell(i, x))
 
 
 class DataStats(StatOperator):
@@ -195,16 +246,16 @@ class DataStats(StatOperator):
     def __init__(self) -> None:
         self.output: dict[str, dict] = {}
 
-    def fit_aggs(self, entries: Entries, cols: Cols, schema: Schema) -> list[Column]:
-        self._names, self._kinds = flat(entries), {n: schema[n].dtype for n in flat(entries)}
-        return [a for n in self._names for a in profile_aggs(cols[n], self._kinds[n])]
-
-    def fit_finalize(self, values: list) -> None:
-        for i, n in enumerate(self._names):
-            low, high, mean, std, held, rows, distinct = values[7 * i : 7 * i + 7]
-            self.output[n] = {"dtype": self._kinds[n], "min": low, "max": high, "mean": mean, "std": std, "per_nan": 100 * (1 - held / rows) if rows else 0.0}
-            if distinct is not None:
-                self.output[n]["cardinality"] = distinct
+    def fit(self, df: DataFrame, entries: Entries, cols: Cols, schema: Schema) -> None:
+        names, kinds = flat(entries), {n: schema[n].dtype for n in flat(entries)}
+        aggs = [a for n in names for a in profile_aggs(cols[n], kinds[n])]
+        values = list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()) if aggs else []
+        distinct = distinct_counts(df, {n: cols[n] for n in names if not schema[n].is_list}, kinds)
+        for i, n in enumerate(names):
+            low, high, mean, std, held, rows = values[6 * i : 6 * i + 6]
+            self.output[n] = {"dtype": kinds[n], "min": low, "max": high, "mean": mean, "std": std, "per_nan": 100 * (1 - held / rows) if rows else 0.0}
+            if n in distinct:
+                self.output[n]["cardinality"] = distinct[n]
         self.fitted = True
 
     def clear(self) -> None:
@@ -226,4 +277,4 @@ def moments(df: DataFrame, names: list[str]) -> DataFrame:
     return each.select("m.column", F.col("m.count").cast("bigint").alias("count"), "m.mean", (F.col("m.std") * F.col("m.std")).alias("var"), "m.std")
 
 
-__all__ = ["DataStats", "FillMedian", "Normalize", "NormalizeMinMax", "ReduceDtypeSize", "missing", "moments", "profile_aggs"]
+__all__ = ["DataStats", "FillMedian", "distinct_counts", "Normalize", "NormalizeMinMax", "ReduceDtypeSize", "missing", "moments", "profile_aggs"]

@@ -12,13 +12,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.base import col
-from ..operators.stat import profile_aggs
+from ..operators.stat import distinct_counts, profile_aggs
 from ..sources.dataset import Dataset
 
 
 class DatasetInspector:
     def inspect(self, dataset: Dataset, columns_dict: dict[str, list[str]], output_file: str | None = None) -> dict:
-        """num_rows and, for conts, cats and labels, each column's statistics; one job."""
+        """num_rows and, for conts, cats and labels, each column's statistics; one pass for these, one for distinct values."""
         df = dataset.df
         kinds = dict(df.dtypes)
         names = [c for group in ("conts", "cats", "labels") for c in columns_dict.get(group, [])]
@@ -29,18 +29,18 @@ class DatasetInspector:
             if dtype.startswith("array<"):
                 aggs += [F.avg(F.size(c)).alias(f"l{i}"), F.min(F.size(c)).alias(f"m{i}"), F.max(F.size(c)).alias(f"x{i}")]
         got = df.agg(*aggs).first()
+        distinct = distinct_counts(df, {n: col(n) for n in names}, kinds)
         out: dict = {"num_rows": got["rows"]}
         for group in ("conts", "cats", "labels"):
             out[group] = {}
             for n in columns_dict.get(group, []):
                 i = names.index(n)
-                low, high, mean, std, held, rows, distinct = (got[f"a{i}_{j}"] for j in range(7))
+                low, high, mean, std, held, rows = (got[f"a{i}_{j}"] for j in range(6))
                 one = {"dtype": kinds[n], "min": low, "max": high, "mean": mean, "std": std, "per_nan": 100 * (1 - held / rows) if rows else 0.0}
-                if distinct is not None:
-                    one["cardinality"] = distinct
+                if n in distinct:
+                    one["cardinality"] = distinct[n]
                 if kinds[n].startswith("array<"):
                     one |= {"multi_min": got[f"m{i}"], "multi_max": got[f"x{i}"], "multi_avg": got[f"l{i}"]}
-                    one["cardinality"] = df.select(F.explode(col(n)).alias("x")).agg(F.count_distinct("x")).first()[0]
                 out[group][n] = one
         if output_file:
             with open(output_file, "w") as f:

@@ -25,6 +25,21 @@ def test_fill_keeps_null_and_nan_apart_from_values(spark):
     assert col(run(["i"] + (["x"] >> ops.FillMedian()), df), "x", "i") == [1.0, 1.0, 1.0]
 
 
+def test_medians_are_exact_in_two_passes(spark):
+    import random
+    import statistics
+
+    from tessera.operators.stat import medians
+
+    rng = random.Random(4)
+    for n in (1, 2, 501, 1000):
+        rows = [(rng.gauss(0, 1), float(rng.randrange(5)), None, rng.choice([None, 1.0, 2.0])) for _ in range(n)]
+        df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+        got = medians(df, {c: F.col(c) for c in "abcd"}, accuracy=20)
+        want = {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate("abcd")}
+        assert got == {c: statistics.median(v) if v else None for c, v in want.items()}
+
+
 def test_clip_and_log_at_the_edges(spark):
     df = spark.createDataFrame([(1, -1.0), (2, -2.0), (3, NAN), (4, None), (5, 0.0)], "i int, x double")
     log = col(run(["i"] + (["x"] >> ops.LogOp()), df), "x", "i")
