@@ -15,7 +15,10 @@ and no link between groups is lost.  Components are found over distinct
 fingerprints; equal texts have met before as one.
 
 Null, empty or blank texts have fingerprint zero and link like any other.
-Repeated rows link; the component is the smallest doc_id reached.
+Repeated rows link; the component is the smallest doc_id reached.  Rows with a
+null doc_id link, too; their component is the smallest id of the others, null
+where there is none.  An empty table gives no rows.  Other columns are not
+looked at by the query, and may have any names in the pipeline's stage.
 """
 
 from __future__ import annotations

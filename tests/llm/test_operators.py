@@ -56,6 +56,17 @@ def test_simhash_matches_brute_force(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_of_repeats_and_null_ids(spark, docs):
+    null = spark.createDataFrame([(None, TEXTS[7]), (None, "a text that no other row has at all")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text", F.lit(1).alias("fp"), F.lit(2).alias("root"))
+    more = rows.union(rows.where("doc_id in (1, 7)")).unionByName(null, allowMissingColumns=True)
+    got = simhash.near_duplicates(more).collect()
+    one = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    assert len(got) == len(TEXTS) + 4
+    assert all((r.fingerprint, r.component_id) == one[r.doc_id] for r in got if r.doc_id is not None)
+    assert sorted((r.component_id or -1) for r in got if r.doc_id is None) == sorted([-1, one[7][1]])
+
+
 def test_ball_links_hold_for_random_fingerprints(spark):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 60, dtype=np.int64)
