@@ -607,6 +607,16 @@ def workflow_sessions(s, d):
     return out.select("user_id", F.array_join(F.transform("event_type_list", lambda x: x.cast("string")), ",").alias("types"))
 
 
+@query(f"""select l_orderkey, l_linenumber::bigint as l_linenumber, l_tax, l_quantity, (l_quantity >= 10)::bigint + (l_quantity >= 20)::bigint + (l_quantity >= 30)::bigint as l_quantity_buckets,
+case l_returnflag when 'R' then 3 when 'A' then 4 else 2 end::bigint as l_returnflag, {_h('l_returnflag')} % 7 as l_returnflag_hashed, xor({_h('l_returnflag')}, {_h('l_linestatus')}) % 20 as "l_returnflag_X_l_linestatus" from lineitem""")
+def feature_columns(s, d):
+    from .tools.features import Bucketized, Crossed, Hashed, Identity, Numeric, Vocabulary, feature_workflow
+
+    wanted = [Bucketized("l_quantity", (10, 20, 30), embedding=4), Numeric("l_quantity"), Numeric("l_tax"), Vocabulary("l_returnflag", ("R", "A")), Hashed("l_returnflag", 7), Crossed(("l_returnflag", "l_linestatus"), 20), Identity("l_linenumber", 8)]
+    workflow, _ = feature_workflow(wanted, label="l_orderkey", method="md5")
+    return _rounded(workflow.fit_transform(Dataset(_t(s, d, "lineitem"))).df)
+
+
 @query("select count(*) as num_rows, min(l_quantity) as low, max(l_quantity) as high, count(distinct l_returnflag) as flags from lineitem")
 def inspect(s, d):
     got = DatasetInspector().inspect(Dataset(_t(s, d, "lineitem")), {"conts": ["l_quantity"], "cats": ["l_returnflag"]})

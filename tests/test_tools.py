@@ -69,3 +69,20 @@ def test_a_saved_graph_may_not_import_what_it_likes(spark, tmp_path):
     spark.createDataFrame([(json.dumps(graph),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/graph.json")
     with pytest.raises(SerializationError, match="trusted"):
         Workflow.load(path)
+
+
+def test_features_say_what_a_model_is_fed(spark, tmp_path):
+    from tessera.tools.features import Bucketized, Crossed, Fed, Hashed, Identity, Numeric, Vocabulary, feature_workflow
+
+    (tmp_path / "words.txt").write_text("red\nblue\n")
+    df = spark.createDataFrame([(1, 0.5, "blue", 3, "a"), (2, 7.0, "green", 4, "b"), (3, None, None, 0, None)], "y int, x double, c string, k int, h string")
+    features = [Bucketized("x", (1.0, 5.0), embedding=8), Vocabulary("c", file=str(tmp_path / "words.txt")), Identity("k", 5), Hashed("h", 11), Crossed(("c", "h"), 13), Numeric("x")]
+    workflow, fed = feature_workflow(features, label="y")
+    assert fed == [Fed("x"), Fed("x_buckets", 3, 8), Fed("c", 5), Fed("k", 5), Fed("h", 11), Fed("c_X_h", 13)]
+    out = {r.y: r for r in workflow.fit_transform(Dataset(df)).df.collect()}
+    assert [out[i].c for i in (1, 2, 3)] == [4, 2, 1] and [out[i].x_buckets for i in (1, 2)] == [0, 2] and out[3].x is None
+    assert out[3].h is None and out[3].c_X_h is None and all(0 <= out[i].c_X_h < 13 and 0 <= out[i].h < 11 for i in (1, 2))
+    assert [out[i].k for i in (1, 2, 3)] == [3, 4, 0]
+    for bad in ([Vocabulary("c")], [Numeric("x"), Numeric("x")], []):
+        with pytest.raises(ValueError):
+            feature_workflow(bad)
