@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, SPACE, as_buffer, by_bytes, checkpoint, fresh, mixed, quoted, span_hashes, window_hashes, word_hashes, words
+from .common import LOWER, SPACE, as_buffer, by_bytes, checkpoint, fresh, mixed, quoted, settled, span_hashes, window_hashes, word_hashes, words
 from .graph import components, local_forest
 
 
@@ -190,7 +191,7 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit))) if similarity < 1 else 1
 
 
-def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20, block: int = 1024) -> DataFrame:
+def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values: int = 1 << 20, block: int = 1024, routed: int = 128) -> DataFrame:
     """(cloud, node, root): groups of nodes in which every candidate pair is together at least once.
 
     classes has node, sketch and prefix.  Table t is bits [t * bits, (t + 1) *
@@ -200,11 +201,18 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
     shared values in a bucket are a cloud, a row for each member, with its root.
     A cloud above ``block`` members has no number: it is not worth holding all
     its sketches against each other, its members go on together.
+
+    More input means more leading bits, and a row for each of them and each
+    table.  Tables are taken in passes of about ``routed`` rows a node; the rows
+    of a pass are removed before the next, so that their disk does not grow
+    faster than the input.
     """
     lead = max(1, min(24, math.ceil(math.log2(max(1, n) * (bits + 1) / bucket_values))))
     low = bits - lead
+    step = max(1, routed // (lead + 1))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.RecordBatch]:
+        stop = min(tables, start + step)
         power = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
         masks = np.array([0, *[1 << i for i in range(lead)]], np.uint64)
         names = ["part", "fp", "used", "node"]
@@ -213,13 +221,15 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
                 batch = whole.slice(at, 2000)
                 node = batch.column(0).to_numpy()
                 raw, _ = as_buffer(batch.column(1).cast(pa.large_binary()))
-                on = np.unpackbits(raw.reshape(len(node), -1), axis=1)[:, : bits * tables]
-                fp = (on.reshape(len(node), tables, bits) * power).sum(2, dtype=np.uint64)
+                on = np.unpackbits(raw.reshape(len(node), -1), axis=1)[:, bits * start : bits * stop]
+                fp = (on.reshape(len(node), stop - start, bits) * power).sum(2, dtype=np.uint64)
                 bucket = (fp >> np.uint64(low))[:, :, None] ^ masks
                 shape = bucket.shape
-                part = (np.arange(tables, dtype=np.int64)[None, :, None] << 32) + bucket.astype(np.int64)
+                part = (np.arange(start, stop, dtype=np.int64)[None, :, None] << 32) + bucket.astype(np.int64)
                 spread = lambda x: np.broadcast_to(x, shape).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(spread(fp[:, :, None]).view(np.int64)), pa.array(spread(masks != 0)), pa.array(spread(node[:, None, None]))], names=names)
+                if start:  # prefixes go with the first pass
+                    continue
                 blobs = batch.column(2).to_pylist()
                 key = np.frombuffer(b"".join(blobs), np.uint64)
                 owner = np.repeat(node, [len(x) // 8 for x in blobs])
@@ -247,7 +257,9 @@ def candidates(classes: DataFrame, n: int, bits: int, tables: int, bucket_values
             a, b = np.append(a, c), np.append(b, d)
         return _clouds(*local_forest(a, b), block)
 
-    return classes.select("node", "sketch", "prefix").mapInArrow(route, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "cloud long, node long, root long").distinct()
+    passes = [partial(route, start=start) for start in range(0, tables, step)]
+    found = [classes.select("node", "sketch", "prefix").mapInArrow(f, "part long, fp long, used boolean, node long").groupBy("part").applyInArrow(meet, "cloud long, node long, root long").distinct() for f in passes]
+    return found[0] if len(found) == 1 else reduce(DataFrame.union, [settled(x) for x in found]).distinct()
 
 
 def _chained(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +405,7 @@ def _near_copies(texts: DataFrame, kind: str, k: int, similarity: float, recall:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in made], t) for c, t in enumerate(kinds)]], names=["doc_id", "node", "sketch", "size", "prefix"])
 
     rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary, size long, prefix binary"))
-    classes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("sketch", "size", "prefix")]))
+    classes = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("sketch", "size", "prefix")]))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = 2 / (2 - 2 * similarity / (1 + similarity)) ** 2 * math.pi * math.sin(math.pi * p) * math.sqrt(p * (1 - p) / (64 * longs))
     least = max(0.0, similarity - 3 * error)
@@ -408,12 +420,12 @@ def _near_copies(texts: DataFrame, kind: str, k: int, similarity: float, recall:
         forest = local_forest(*[np.concatenate(x) for x in zip(*found, strict=True)])
         return pa.table({"a": forest[0], "b": forest[1]})
 
-    met = checkpoint(candidates(classes, n, bits, tables))
+    met = settled(candidates(classes, n, bits, tables))
     near = met.where("cloud is not null").join(classes.select("node", "sketch", "size"), "node")
     near = near.withColumn("task", F.pmod("cloud", F.lit(max(16, n // 2000)))).groupBy("task").applyInArrow(compare, "a long, b long")
-    forest = components(near.union(met.where("cloud is null").select("node", "root")))
-    cluster = checkpoint(classes.select("node", "least", "size").join(forest.select(F.col("node").alias("n"), "root").union(forest.select("root", "root").distinct()), F.col("node") == F.col("n")).drop("n"))
-    joined = components(_linked(texts, cluster, k, similarity, block)).select(F.col("node").alias("n"), "root")
+    forest = components(settled(near.union(met.where("cloud is null").select("node", "root"))))
+    cluster = settled(classes.select("node", "least", "size").join(forest.select(F.col("node").alias("n"), "root").union(forest.select("root", "root").distinct()), F.col("node") == F.col("n")).drop("n"))
+    joined = components(settled(_linked(texts, cluster, k, similarity, block))).select(F.col("node").alias("n"), "root")
     found = classes.select("node", "least").join(joined, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = found.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = found.select(F.col("node").alias("n"), "root").join(named, "root")
@@ -441,11 +453,11 @@ def _linked(texts: DataFrame, cluster: DataFrame, k: int, similarity: float, blo
     full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "n long, s binary").join(cluster.select("node"), F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"])
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(PIVOTS)]
     per = cluster.groupBy("root").agg(F.count("*").alias("all"), F.sum("size").alias("whole"), F.array_distinct(F.array(*pick)).alias("pivots"))
-    per = checkpoint(per.select(F.col("root").alias("r"), blocks("all", "whole").alias("blocks"), "pivots"))
+    per = settled(per.select(F.col("root").alias("r"), blocks("all", "whole").alias("blocks"), "pivots"))
     links = None
     known = cluster.sparkSession.createDataFrame([], "linked long")
     if per.where("blocks > 1").head(1):
-        full = checkpoint(full)
+        full = settled(full)
         big = per.where("blocks > 1").withColumn("parts", F.ceil(F.col("blocks") / 8).cast("int"))
         own = cluster.join(big, F.col("root") == F.col("r")).select("root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("pivot"))
         each = big.select(F.col("r").alias("root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots").select("root", "part", F.explode("pivots").alias("node"), F.lit(True).alias("pivot"))
@@ -461,7 +473,7 @@ def _linked(texts: DataFrame, cluster: DataFrame, k: int, similarity: float, blo
                 a.append(np.full(len(b[-1]), node[i]))
             return pa.table({"root": np.full(sum(map(len, a)), table.column("root")[0].as_py()), "a": np.concatenate(a), "b": np.concatenate(b)})
 
-        links = checkpoint(stars.groupBy("unit").applyInArrow(star, "root long, a long, b long"))
+        links = settled(stars.groupBy("unit").applyInArrow(star, "root long, a long, b long"))
         best = links.groupBy("root", "a").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("a", F.struct("c", "a")).alias("p"))
         known = best.select(F.col("p").alias("linked")).union(links.join(best.select("p"), F.col("a") == F.col("p")).select("b"))
     rest = cluster.join(known, F.col("node") == F.col("linked"), "left")
@@ -472,7 +484,7 @@ def _linked(texts: DataFrame, cluster: DataFrame, k: int, similarity: float, blo
     as_any = F.transform(upto("others"), lambda i: F.struct(i.alias("i"), place("blocks").alias("j")))
     as_other = F.when(F.col("linked").isNull(), F.transform(upto("blocks"), lambda j: F.struct(place("others").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     dealt = dealt.withColumn("u", F.explode(F.array_union(as_any, as_other))).select("node", "size", F.xxhash64("root", "u.i", "u.j").alias("unit"))
-    dealt = checkpoint(dealt)
+    dealt = settled(dealt)
     units = max(16, (dealt.agg(F.sum("size")).first()[0] or 0) >> 19)
 
     def verify(table: pa.Table) -> pa.Table:
@@ -492,10 +504,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     several texts under one doc_id are documents of their own; rows that agree
     in both are cut to one.
     """
-    (own,) = fresh(docs, "__x")
+    row, id_, x, kept = fresh(docs, "__row", "__id", "__x", "__kept")
     key = F.struct(F.col(quoted(doc_id)).alias("id"), F.xxhash64(F.col(quoted(text))).alias("x"))
     found = _near_copies(docs.select(key.alias("doc_id"), F.col(quoted(text)).alias("text")), f"struct<id:{docs.schema[doc_id].dataType.simpleString()},x:bigint>", k, similarity, recall, block)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id.id").alias("__keep_id"), F.col("doc_id.x").alias("__keep_x")).distinct()
-    marked = docs.withColumn(own, F.xxhash64(F.col(quoted(text))))
-    stay = marked.join(keep, (F.col(own) == F.col("__keep_x")) & F.col(quoted(doc_id)).eqNullSafe(F.col("__keep_id")), "left_semi")
-    return stay.dropDuplicates([doc_id, own]).drop(own)
+    keep = found.where("doc_id = component_id").select(F.lit(None).cast(docs.schema).alias(row), F.col("doc_id.id").alias(id_), F.col("doc_id.x").alias(x), F.lit(True).alias(kept))
+    rows = docs.select(F.struct("*").alias(row), F.col(quoted(doc_id)).alias(id_), F.xxhash64(F.col(quoted(text))).alias(x), F.lit(False).alias(kept))
+    # a union, not a join and then a cut to one: whole texts are shuffled once
+    once = rows.union(keep).groupBy(id_, x).agg(F.first(row, ignorenulls=True).alias(row), F.max(kept).alias(kept))
+    return once.where(F.col(kept)).select(f"{row}.*")
