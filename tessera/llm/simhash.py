@@ -362,13 +362,33 @@ def verified(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
 SMALL = 40
 
 
+def prefixed(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, prefix) of (node, small), the hashes of small sets: those that the fewest sets have, ties by the hash.
+
+    Two sets of the similarity, both in that order, share one of their prefixes.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(1).to_pylist()
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in blobs])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["node", "h"])
+
+    every = sets.mapInArrow(each, "node long, h long")
+    often = every.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("c"))
+    ordered = every.join(often, F.col("h") == F.col("g")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("o"))  # below SMALL entries
+    length = F.size("o") - F.ceil(similarity * F.size("o") - 1e-9).cast("int") + 1
+    return ordered.select("node", F.unhex(F.array_join(F.transform(F.slice("o", F.lit(1), length), lambda h: F.lpad(F.hex(h), 16, "0")), "")).alias("prefix"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:
     """doc_id and component_id of every row: groups linked at a Jaccard similarity of k-word shingles.
 
     One 64-bit fingerprint is too coarse for a similarity of 0.8 (about 10 bits
     differ), so a document has several shorter ones and pairs within 2 bits in
     any of them are candidates.  Sets below SMALL shingles are candidates at a
-    shared shingle of their prefix also, which misses none.  All bits together
+    shared shingle of their prefix also, which misses none; a prefix holds the
+    rarest shingles, so a passage that many share makes no candidates.  All bits together
     estimate a pair's similarity: who is three standard errors below the
     threshold (much further for small sets) is not held closer.  The others
     form clusters, in which every pair of groups is decided on the shingle sets
@@ -394,18 +414,16 @@ def _near_copies(texts: DataFrame, kind: str, k: int, similarity: float, recall:
     bits, tables = table_plan(n, similarity, recall)
     longs = -(-bits * tables // 64)
 
-    def prefix(h: np.ndarray) -> bytes:
-        """The least hashes: two sets of the similarity, both sorted, share one of them."""
-        return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes() if len(h) < SMALL else b""
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(set_id(h), sketch(h, longs), len(h), prefix(h)) for h in _each_set(batch, k)]
+            made = [(set_id(h), sketch(h, longs), len(h), h.tobytes() if len(h) < SMALL else b"") for h in _each_set(batch, k)]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in made], t) for c, t in enumerate(kinds)]], names=["doc_id", "node", "sketch", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in made], t) for c, t in enumerate(kinds)]], names=["doc_id", "node", "sketch", "size", "small"])
 
-    rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary, size long, prefix binary"))
-    classes = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("sketch", "size", "prefix")]))
+    rows = checkpoint(texts.mapInArrow(scan, f"doc_id {kind}, node long, sketch binary, size long, small binary"))
+    classes = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("sketch", "size", "small")]))
+    prefixes = prefixed(classes.where("size < " + str(SMALL)).select("node", "small"), similarity).withColumnRenamed("node", "n")
+    classes = settled(classes.drop("small").join(prefixes, F.col("node") == F.col("n"), "left").drop("n").withColumn("prefix", F.coalesce("prefix", F.lit(b""))))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = 2 / (2 - 2 * similarity / (1 + similarity)) ** 2 * math.pi * math.sin(math.pi * p) * math.sqrt(p * (1 - p) / (64 * longs))
     least = max(0.0, similarity - 3 * error)
