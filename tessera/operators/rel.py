@@ -25,9 +25,20 @@ def measured(table: DataFrame) -> tuple[int, int]:
     return n, size or 0
 
 
+#: Most bytes of a lookup that one task may hold as a hash table.
+PART_BYTES = 64 << 20
+
+
 def lookup(table: DataFrame, size: int | None, room: Room | None) -> DataFrame:
-    """Hints a broadcast only where the bytes are known and fit what is left for the row set; else Spark chooses."""
-    return F.broadcast(table) if (room or Room()).fits(size) else table
+    """Hints a broadcast only where the bytes are known and fit what is left for the row set.
+
+    Else a shuffled hash join: a task holds its part of the lookup, and neither
+    sorts nor spills the rows.  Spark chooses where that part would be large.
+    """
+    if (room or Room()).fits(size):
+        return F.broadcast(table)
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.hint("shuffle_hash") if size is not None and size <= parts * PART_BYTES else table
 
 
 class Filter(Operator):
