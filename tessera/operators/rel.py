@@ -27,6 +27,8 @@ def measured(table: DataFrame) -> tuple[int, int]:
 
 #: Most bytes of a lookup that one task may hold as a hash table.
 PART_BYTES = 64 << 20
+#: Up to so many bytes Spark may broadcast a lookup by itself, which shuffles no rows.
+SMALL_BYTES = 16 << 20
 
 
 def lookup(table: DataFrame, size: int | None, room: Room | None) -> DataFrame:
@@ -38,7 +40,7 @@ def lookup(table: DataFrame, size: int | None, room: Room | None) -> DataFrame:
     if (room or Room()).fits(size):
         return F.broadcast(table)
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.hint("shuffle_hash") if size is not None and size <= parts * PART_BYTES else table
+    return table.hint("shuffle_hash") if size is not None and SMALL_BYTES < size <= parts * PART_BYTES else table
 
 
 class Filter(Operator):

@@ -34,15 +34,15 @@ class RowSet:
 
 @dataclass
 class Part:
-    """A node's columns: public name to private name, and the schema."""
+    """A node's columns: public name to private name, or to the expression of a derived column, and the schema."""
 
     rows: RowSet | None
-    names: dict[str, str]
+    names: dict[str, str | Column]
     schema: Schema
     entries: Entries = field(default_factory=list)
 
     def columns(self) -> dict[str, Column]:
-        return {n: F.col(f"`{p}`") for n, p in self.names.items()}
+        return {n: p if isinstance(p, Column) else F.col(f"`{p}`") for n, p in self.names.items()}
 
 
 def merged_entries(entries: Entries, extra: Entries) -> Entries:
@@ -50,16 +50,20 @@ def merged_entries(entries: Entries, extra: Entries) -> Entries:
 
 
 class Compiler:
-    """Evaluates nodes over a DataFrame, or over a schema alone."""
+    """Evaluates nodes over a DataFrame, or over a schema alone.
 
-    def __init__(self, source: DataFrame | None, schema: Schema, fitting: bool = False, removed: set[str] = frozenset()) -> None:
+    derived columns are expressions of the source's: they are worked out where
+    they are used, so joins carry what they are made of.
+    """
+
+    def __init__(self, source: DataFrame | None, schema: Schema, fitting: bool = False, removed: set[str] = frozenset(), derived: dict[str, Column] | None = None) -> None:
         self.fitting, self.done = fitting, {}
         self.schema = schema
         self.removed = removed
         self.root = None
         if source is not None:
             self.root = RowSet(source)
-            self.root_names = self.root.bind({c: F.col(f"`{c}`") for c in source.columns})
+            self.root_names = self.root.bind({c: F.col(f"`{c}`") for c in source.columns if not derived or c in schema}) | (derived or {})
 
     def part(self, node: Node) -> Part:
         if id(node) not in self.done:
@@ -80,6 +84,8 @@ class Compiler:
                 raise ValueError(f"columns not in the dataset: {unknown}")
             schema = Schema(self.schema[n] if n in self.schema else ColumnSchema(n) for n in names)
             return Part(self.root, {n: self.root_names[n] for n in names} if self.root else {}, schema, entries)
+        for p in sorted([*node.parents, *node.dependencies], key=lambda p: not self._looks_up(p)):  # lookups join rows that have no further columns yet
+            self.part(p)
         inputs = [self.part(p) for p in node.parents]
         others = [self.part(d) for d in node.dependencies]
         if node.kind == "subgraph":
@@ -98,6 +104,10 @@ class Compiler:
             return self._concat([*inputs, *others])
         return self._apply(node.op, self._concat(inputs) if len(inputs) > 1 else inputs[0], others)
 
+    @staticmethod
+    def _looks_up(node: Node) -> bool:
+        return any(n.op is not None and type(n.op).extend is not Operator.extend for n in node.walk())
+
     def _concat(self, parts: list[Part]) -> Part:
         rows = {id(p.rows) for p in parts if p.schema.column_names}
         if len(rows) > 1:

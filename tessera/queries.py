@@ -571,8 +571,8 @@ def wide_node() -> Node:
 
 @query(f"with w as materialized {_WIDE} select {', '.join(f'round(ln(1 + greatest(coalesce({c}, 0), 0))::float::double, 4) as {c}' for c in WIDE_CONTS)}, {', '.join(f'coalesce(v_{c}.label, 2) as {c}' for c in WIDE_CATS)}, l_orderkey, l_linenumber::bigint as l_linenumber from w {' '.join(f'left join ({_vocab("w", c, f"having count(*) >= {RARE.get(c, 0)}")}) v_{c} using ({c})' for c in WIDE_CATS)}")
 def workflow_criteo_wide(s, d):
-    df = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(x).alias(n) for n, x in (WIDE_CONTS | WIDE_CATS).items()])
-    return _rounded(_fit(wide_node(), df))
+    data = Dataset(_t(s, d, "lineitem"), derived=WIDE_CONTS | WIDE_CATS)
+    return _rounded(Workflow(wide_node()).fit_transform(data).df)
 
 
 @query(_CRITEO)

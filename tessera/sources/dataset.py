@@ -27,9 +27,11 @@ class Dataset:
     honoured; sizes of parts are left to Spark (spark.sql.files.maxPartitionBytes),
     which a warning says where they are given.  Files must agree in schema;
     check_schema reads all of them for that and raises where one differs.
+    derived adds columns by SQL expressions of the others; they must be
+    deterministic, as a workflow works them out where it uses them.
     """
 
-    def __init__(self, source: object, engine: str | None = None, schema: Schema | None = None, names: list[str] | None = None, npartitions: int | None = None, part_size: object = None, part_mem_fraction: float | None = None, row_groups_per_part: int | None = None, storage_options: dict | None = None, cpu: bool = True, base_dataset: Dataset | None = None, check_schema: bool = False, **options) -> None:
+    def __init__(self, source: object, engine: str | None = None, schema: Schema | None = None, names: list[str] | None = None, npartitions: int | None = None, part_size: object = None, part_mem_fraction: float | None = None, row_groups_per_part: int | None = None, storage_options: dict | None = None, cpu: bool = True, base_dataset: Dataset | None = None, check_schema: bool = False, derived: dict[str, str] | None = None, **options) -> None:
         self.base_dataset = base_dataset or self
         given = [n for n, v in (("part_size", part_size), ("part_mem_fraction", part_mem_fraction), ("row_groups_per_part", row_groups_per_part)) if v is not None]
         if given:
@@ -41,7 +43,10 @@ class Dataset:
             df = df.repartition(npartitions)
         if schema is not None:
             df = df.select(*[F.col(f"`{c}`").alias(c, metadata=schema[c].metadata()) if c in schema else F.col(f"`{c}`") for c in df.columns])
-        self.df = df
+        if set(derived or {}) & set(df.columns):
+            raise ValueError("a derived column has the name of another")
+        self.stored, self.derived = df, {n: F.expr(x) for n, x in (derived or {}).items()}
+        self.df = df.select("*", *[c.alias(n) for n, c in self.derived.items()]) if derived else df
         self.cpu = True
 
     @staticmethod

@@ -170,7 +170,7 @@ class Workflow:
 
     def fit_transform(self, dataset: Dataset | DataFrame) -> Dataset:
         self.fit(dataset)
-        return self._transform(_frame(dataset), fitting=True)
+        return self._transform(dataset, fitting=True)
 
     def clear_stats(self) -> None:
         for n in self.output_node.walk():
@@ -183,20 +183,22 @@ class Workflow:
 
     @transform.register
     def _(self, data: Dataset) -> Dataset:
-        return self._transform(data.df)
+        return self._transform(data)
 
     @transform.register
     def _(self, data: DataFrame) -> DataFrame:
         return self._transform(data).df
 
-    def _transform(self, df: DataFrame, fitting: bool = False) -> Dataset:
+    def _transform(self, data: Dataset | DataFrame, fitting: bool = False) -> Dataset:
+        df = _frame(data)
         for n in self.output_node.walk():
             if isinstance(n.op, StatOperator) and not n.op.fitted:
                 raise ValueError(f"{n.op.label} is not fitted")
         schema = Schema.of(df.schema).excluding(self._removed)
         used = self._inputs(schema)
         source = df.select(*[col(c) for c in df.columns if c in used]) if used else df
-        compiler = Compiler(source, schema.select(source.columns), fitting=fitting, removed=self._removed)
+        derived = {n: c for n, c in data.derived.items() if n in source.columns} if isinstance(data, Dataset) else {}
+        compiler = Compiler(data.stored if derived else source, schema.select(source.columns), fitting=fitting, removed=self._removed, derived=derived)
         out = Dataset(compiler.result(self.output_node))
         self._output_schema, self._fitted_on = compiler.part(self.output_node).schema, None
         return out
